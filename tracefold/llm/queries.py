@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, simhash
+from . import bpe, licences, pii, secrets, simhash
 from ._common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _span_digest(found: DataFrame, kinds: list[str]) -> DataFrame:
+    return found.select("doc_id", *(f"n_{k}" for k in kinds), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(pii.spans(table(spark, sf_dir, "documents"), ["doc_id"]), pii.BASE)
+
+
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.scan(docs).select("doc_id", "licence.*")
@@ -29,10 +37,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("ident").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(secrets.spans(table(spark, sf_dir, "documents"), ["doc_id"]), secrets.BASE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_licences": op2_licences,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}
