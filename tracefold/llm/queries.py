@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, pii, secrets, simhash
+from . import bpe, licences, pii, quality, secrets, simhash
 from ._common import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,13 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(docs, BPE_RANKS, public_tokenizers.PATTERN).select("doc_id", "bpe.*")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, field)
+    return scored.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.classes(table(spark, sf_dir, "documents"))
     return out.select(F.col("ident").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -45,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_licences": op2_licences,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality": op4_quality,
     "op7_simhash": op7_simhash,
     "op10_secrets": op10_secrets,
 }
