@@ -17,17 +17,20 @@ from pyspark.sql import functions as F
 from ._common import saved
 
 
-def compare(rows: DataFrame, fn: Callable[[pd.DataFrame, np.ndarray | None], pd.DataFrame | None], schema: str, block: int = 512) -> DataFrame:
+def compare(rows: DataFrame, fn: Callable[[pd.DataFrame, np.ndarray | None], pd.DataFrame | None], schema: str, block: int = 512, payload: DataFrame | None = None) -> DataFrame:
     """``fn(members, side)`` for every block pair of every bucket.
 
-    ``rows`` has ``bucket`` (long), ``node`` (long) and payload columns. ``side`` is None
+    ``rows`` has ``bucket`` (long), ``node`` (long) and maybe more columns; ``payload``, one
+    row a ``node``, joins only the rows whose bucket holds several. ``side`` is None
     when all pairs of ``members`` are due, else a boolean array that tells the two blocks
     apart and only pairs across are due.
     """
     counts = saved(rows.groupBy("bucket").agg(F.count("*").alias("bucket_n")).where("bucket_n > 1"))
+    shared = rows.join(counts, "bucket")
+    if payload is not None:
+        shared = shared.join(payload, "node")
     dealt = (
-        rows.join(counts, "bucket")
-        .withColumn("nb", F.ceil(F.col("bucket_n") / block).cast("int"))
+        shared.withColumn("nb", F.ceil(F.col("bucket_n") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("nb")).cast("int"))
         .withColumn("pair", F.explode(F.expr("transform(sequence(0, nb - 1), x -> cast(least(own, x) as long) * nb + greatest(own, x))")))
         .drop("bucket_n")

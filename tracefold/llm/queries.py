@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, pii, quality, secrets, simhash
+from . import bpe, embed_dedup, licences, lm_score, mixing, pii, quality, secrets, simhash, topk
 from ._common import table
 
+#: No source is passed over more than this often within a budget of all tokens.
+MIX_REPEATS = 1.5
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -39,11 +41,32 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("ident") % 50 == 0)
+
+
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embed_dedup.classes(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("ident").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("ident") == F.col("component"), F.lit(False)).alias("kept"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.classes(table(spark, sf_dir, "documents"))
     return out.select(F.col("ident").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much closer each document is to the benchmark passages than to the whole corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = lm_score.train(docs, table(spark, sf_dir, "benchmark"))
+    return lm_score.score(docs, scorer).select("doc_id", "lm.*")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.plan(docs, repeats=MIX_REPEATS)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secrets.spans(table(spark, sf_dir, "documents"), ["doc_id"]), secrets.BASE)
 
@@ -53,7 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licences": op2_licences,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
+    "op5_topk": op5_topk,
+    "op6_embed_dedup": op6_embed_dedup,
     "op7_simhash": op7_simhash,
+    "op8_lm_score": op8_lm_score,
+    "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
 }
 

@@ -93,7 +93,7 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` of each class: the smallest id, and of rows that share it one."""
-    docs = docs.withColumn("__row", F.monotonically_increasing_id())
+    docs = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
     marked = fingerprints(docs.select("__row", F.col(ident).alias("ident"), F.col(text).alias("text"))).select("__row", "ident", "fp")
     base = saved(marked)
     nodes = saved(base.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct(F.col("ident").isNull().alias("void"), "ident", "__row")).alias("best")))
