@@ -17,6 +17,7 @@ import heapq
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 import xxhash
@@ -206,24 +207,26 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", into: str
     return docs.withColumn(into, back(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
-_DIGEST = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+_DIGEST = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
 
 
-def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "bpe") -> DataFrame:
+def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "bpe", with_ids: bool = False) -> DataFrame:
     """``docs`` with a struct of the token count and the hashes of the ids and of their decoding.
 
-    Ids never leave the worker, so the output is a few bytes a document.
+    Unless ``with_ids`` adds them as a field ``ids``, the ids never leave the worker.
     """
     codec = shared_codec(docs.sparkSession, path, pattern)
+    schema = StructType(_DIGEST + [StructField("ids", ArrayType(IntegerType()))] * with_ids)
 
-    @F.pandas_udf(_DIGEST)
+    @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             c, rows = codec.value, []
             for t in batch:
                 ids = c.encode(t)
-                rows.append((len(ids), sha(c.decimal(ids).encode()), sha(c.decode(ids))))
-            yield pd.DataFrame(rows, columns=_DIGEST.names)
+                row = (len(ids), sha(c.decimal(ids).encode()), sha(c.decode(ids)))
+                rows.append((*row, np.array(ids, dtype=np.int32)) if with_ids else row)
+            yield pd.DataFrame(rows, columns=schema.names)
 
     return docs.withColumn(into, run(text_of(text)))

@@ -87,6 +87,15 @@ def plan(docs: DataFrame, source: str = "source", text: str = "text", ident: str
     return placed.select(*(F.col(f"`{c}`") for c in keep), F.col("__n").alias("n_tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"), copies.cast("long").alias("copies"))
 
 
+def realise(docs: DataFrame, source: str = "source", text: str = "text", ident: str = "doc_id", **target) -> DataFrame:
+    """``docs``, each row as often as ``plan`` takes it."""
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
+    taken = plan(rows.select("__row", F.col(ident).alias("ident"), F.col(source).alias("source"), F.col(text).alias("text")), ident="ident", **target)
+    taken = saved(taken.where("copies > 0").select("__row", "copies"))
+    repeated = rows.join(taken, "__row").withColumn("__copy", F.explode(F.expr("sequence(1L, copies)")))
+    return repeated.select(*docs.columns)
+
+
 def _least_budget(shares: DataFrame, entropy: float | None, repeats: float | None) -> tuple[float, float]:
     """The exponent, and the least budget that gives each source a whole pass.
 
