@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as the transcript tools understand it: ASCII, and the Unicode spaces.
 SPACE = r"[\t-\r    -     　﻿]"
@@ -102,13 +103,13 @@ def slug_key(text: str | None) -> str:
     return "-".join(kept.split()) or "session"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slugify(texts: pd.Series) -> pd.Series:
     """Lower case, accents folded (NFKD), other runs to one dash; Spark has no normaliser."""
     return texts.map(slug_key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_pretty(texts: pd.Series) -> pd.Series:
     """JSON text indented by 2; what isn't JSON stays as a JSON string."""
 
