@@ -49,6 +49,18 @@ def drop_saved(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def hashed_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df``, those whose hash of ``key`` is lowest; all, if it has fewer.
+
+    A threshold on the hash takes the place of a sort, so no task gathers the candidates of
+    all others. Rows of equal keys come together.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    return df.where(F.xxhash64(key, F.lit(11)) < int(-(2**63) + 2**64 * rows / total))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(a, b)`` links of long node ids to ``(node, root)``, root the smallest id of the component.
 

@@ -3,8 +3,8 @@
 Two character Markov models of first order, one of random strings and one of ordinary
 identifiers, are compared by log-likelihood ratio. The labelled samples: values that the
 fixed shapes find in the whole table and strings drawn from SHA-256 are random; runs of
-8 and more identifier characters from ``SAMPLE_ROWS`` texts (lowest hashes) that no fixed
-shape covers are ordinary. Transition counts are DataFrame aggregates of at most 128 x 128
+8 and more identifier characters from about ``SAMPLE_ROWS`` texts (lowest hashes, equal
+texts once) that no fixed shape covers are ordinary. Transition counts are DataFrame aggregates of at most 128 x 128
 cells, so the model has a fixed size and is applied as a literal.
 
 DataFrame and SQL functions only. Null texts are empty, an empty text has no spans, rows
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved, text_of
+from ._common import hashed_share, saved, text_of
 from ._spans import joined, locate, overlaps
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
@@ -66,7 +66,7 @@ def train(found: DataFrame, docs: DataFrame, text: str = "text") -> list[float]:
     value = f"case when x.kind = 'assign' then regexp_extract(x.m, {_sql(ASSIGN)}, 1) else x.m end"
     real = found.select(F.explode(F.expr(f"transform(__base, x -> {value})")).alias("w"))
     drawn = spark.range(DRAWN).select(F.explode(F.expr("array(sha2(cast(id as string), 256), base64(unhex(sha2(cast(id as string), 256))), upper(conv(left(sha2(cast(-id as string), 256), 15), 16, 36)))")).alias("w"))
-    sample = docs.select(text_of(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLE_ROWS)
+    sample = hashed_share(docs.select(text_of(text).alias("t")), F.col("t"), SAMPLE_ROWS).groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
     plain = F.regexp_replace("t", ASSIGN + "|" + PATTERNS["access"] + "|" + PATTERNS["hex"], " ")
     known = sample.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{8,}+"), F.lit(0))).alias("w"))
     # what the fixed shapes find weighs no more than the drawn strings, else one alphabet hides the rest
