@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._common import saved, text_of
 
-BLOCK, GRID, JOBS = 2048, 31, 6
+BLOCK, GRID, JOBS = 512, 31, 6
 
 
 def exponent(sources: DataFrame, budget_share: float, entropy: float | None, repeats: float | None) -> float:
