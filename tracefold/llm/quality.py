@@ -6,7 +6,7 @@ Training lines carry the label of their document. The marginals of the forward-b
 recursion, weighted by line length, average to the share of good text, and a logistic
 curve with one slope and one offset turns that share into the probability of label 1.
 
-The field is fitted on at most ``SAMPLE_ROWS`` labelled rows (lowest hashes) outside the
+The field is fitted on about ``SAMPLE_ROWS`` labelled rows (lowest hashes) outside the
 held-out fold; whatever is scored is scored whole. Inputs are the text alone.
 
 Null texts are read as empty; an empty text is one empty line and has a score like any
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved, text_of
+from ._common import hashed_share, saved, text_of
 
 SAMPLE_ROWS, FOLDS, THRESHOLD = 3000, 5, 0.3
 RIDGE, ROUNDS, CELLS = 1.0, 120, 400_000
@@ -210,10 +210,10 @@ def held_out(ident: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> Field:
-    """Fit on the ``rows`` labelled documents of lowest id hash outside the held-out fold."""
+    """Fit on about ``rows`` labelled documents, those of lowest id hash outside the held-out fold."""
     marks = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull() & ~held_out(ident))
     marks = marks.groupBy(F.col(ident).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"))
-    picked = saved(marks.orderBy(F.xxhash64("__id"), "__id").limit(rows))
+    picked = saved(hashed_share(marks, F.col("__id"), rows))
     texts = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__t")).where("__t is not null")
     found = texts.join(F.broadcast(picked), "__id").dropDuplicates(["__id"]).select("__id", "__t", "__y").collect()
     found.sort(key=lambda r: r["__id"])
