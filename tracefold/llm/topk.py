@@ -8,7 +8,7 @@ the singular vectors of a bounded sample, the leading ``LEAD`` coordinates give
 sum and Cauchy-Schwarz bounds the rest, so only pairs that may still enter the list are
 scored, with exact integers.
 
-The rotation only orders the work; it is fitted on ``SAMPLE_ROWS`` rows of lowest hashes.
+The rotation only orders the work; it is fitted on about ``SAMPLE_ROWS`` rows of lowest hashes.
 
 Vectors that are null or hold null or non-finite components take no part; an empty vector
 has score 0 with empty vectors; vectors of different length are never compared. Ties go to
@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import saved
+from ._common import hashed_share, saved
 
-SLAB, BLOCK, BANDS, SAMPLE_ROWS, LEAD, STEP = 4096, 512, 32, 4096, 16, 1024
+SLAB, BLOCK, BANDS, SAMPLE_ROWS, LEAD, STEP = 4096, 512, 32, 1024, 16, 1024
 _OUT = "q_row long, query_id long, c_row long, vec_id long, score long"
 
 
@@ -39,7 +39,7 @@ def quantised(vectors: DataFrame, ident: str, vector: str, scale: int) -> DataFr
 
 def _rotation(base: DataFrame) -> np.ndarray:
     """Right singular vectors, leading first, of the sample's most common dimension."""
-    rows = base.orderBy(F.xxhash64("row"), "row").select("vec").limit(SAMPLE_ROWS).collect()
+    rows = hashed_share(base, F.col("row"), SAMPLE_ROWS).select("vec").collect()
     sizes = [len(r["vec"]) for r in rows]
     if not sizes or not max(sizes):
         return np.eye(1)
