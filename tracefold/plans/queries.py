@@ -16,6 +16,7 @@ from ..operators import doctor, filters, fold, redact, related, stats
 from ..operators import search as S
 from ..sources import source_a, source_b, source_c
 from ..sources.raw import lines_of
+from ..streaming import windows
 from . import commands
 from .derived import conversation_index, event_index, event_rows, load
 
@@ -702,3 +703,21 @@ def rollup_lineitem(spark, d):
 def orders_by_nation(spark, d):
     rows = load(spark, d, "orders").join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_name").agg(F.count("*").alias("orders"))
+
+
+# Streaming forms, run over a batch.
+
+
+@query(
+    EV + ", g as (select file_path, ts, case when ts > lag(ts) over (partition by file_path order by ts) + interval 2 hour then 1 when lag(ts) over (partition by file_path order by ts) is null then 1 when ts = lag(ts) over (partition by file_path order by ts) + interval 2 hour then 1 else 0 end as new from e1), "
+    "w as (select file_path, ts, sum(new) over (partition by file_path order by ts) as n from g) select file_path, min(ts) as started, max(ts) + interval 2 hour as ended, count(*) as messages from w group by file_path, n"
+)
+def activity_windows(spark, d):
+    out = windows.activity_windows(event_index(spark, d).messages)
+    return out.select("file_path", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "messages")
+
+
+@query(EV + "select agent, date_trunc('hour', ts) as started, count(*) as messages from e1 group by all")
+def tumbling_counts(spark, d):
+    out = windows.tumbling_counts(event_index(spark, d).messages)
+    return out.select("agent", F.col("started").cast("timestamp_ntz").alias("started"), "messages")

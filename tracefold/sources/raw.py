@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,7 @@ def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(file_path, value)``, whole files; files of no bytes have no row."""
     if not paths:
         return spark.createDataFrame([], "file_path string, value string")
+    spark.catalog.refreshByPath(posixpath.commonpath(paths))  # logs grow: what is cached of them is stale
     name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     name = F.regexp_replace(F.regexp_replace(name, "^file:///", "/"), "^file:/(?!/)", "/")
     return spark.read.text(paths, wholetext=True).select(name.alias("file_path"), F.make_valid_utf8("value").alias("value"))
