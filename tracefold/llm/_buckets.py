@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._common import saved
 
 
-def compare(rows: DataFrame, fn: Callable[[pd.DataFrame, np.ndarray | None], pd.DataFrame | None], schema: str, block: int = 512, payload: DataFrame | None = None) -> DataFrame:
+def compare(rows: DataFrame, fn: Callable[[pd.DataFrame, np.ndarray | None], pd.DataFrame | None], schema: str, block: int = 256, payload: DataFrame | None = None) -> DataFrame:
     """``fn(members, side)`` for every block pair of every bucket.
 
     ``rows`` has ``bucket`` (long), ``node`` (long) and maybe more columns; ``payload``, one

@@ -89,7 +89,7 @@ def _links(members: pd.DataFrame, side: np.ndarray | None) -> pd.DataFrame | Non
     return pd.concat([pd.DataFrame({"a": a, "b": b, "n": 0}), pd.DataFrame({"a": ids[some], "b": -1, "n": n[some]})], ignore_index=True)
 
 
-def classes(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 512) -> DataFrame:
+def classes(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 256) -> DataFrame:
     """``(ident, n_links, component)``, one row of every row of ``vectors``."""
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("ident"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vec"))
     base = saved(rows.withColumn("usable", F.expr(USABLE)).withColumn("k1", F.xxhash64("label", "vec")).withColumn("k2", F.xxhash64("vec", "label", F.lit(SEED))))
