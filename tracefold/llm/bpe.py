@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from ._common import text_of
 
-MEMO_LIMIT = 400_000
+MEMO_LIMIT, SLICE = 250_000, 256
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -210,23 +211,31 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", into: str
 _DIGEST = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
 
 
-def digest(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "bpe", with_ids: bool = False) -> DataFrame:
-    """``docs`` with a struct of the token count and the hashes of the ids and of their decoding.
+def digest(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", into: str = "bpe", with_ids: bool = False) -> DataFrame:
+    """The ``keep`` columns with a struct of the token count and the hashes of the ids and of their decoding.
 
-    Unless ``with_ids`` adds them as a field ``ids``, the ids never leave the worker.
+    Unless ``with_ids`` adds them as a field ``ids``, the ids never leave the worker. An
+    Arrow batch is answered in slices of ``SLICE`` rows, so a worker holds the ids of few.
     """
     codec = shared_codec(docs.sparkSession, path, pattern)
-    schema = StructType(_DIGEST + [StructField("ids", ArrayType(IntegerType()))] * with_ids)
+    kept = docs.select(*keep, text_of(text).alias("__txt"))
+    fields = _DIGEST + [StructField("ids", ArrayType(IntegerType()))] * with_ids
+    schema = StructType([*kept.schema.fields[:-1], StructField(into, StructType(fields))])
 
-    @F.pandas_udf(schema)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda b: hashlib.sha256(b).hexdigest()
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+        c = codec.value
         for batch in batches:
-            c, rows = codec.value, []
-            for t in batch:
-                ids = c.encode(t)
-                row = (len(ids), sha(c.decimal(ids).encode()), sha(c.decode(ids)))
-                rows.append((*row, np.array(ids, dtype=np.int32)) if with_ids else row)
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return docs.withColumn(into, run(text_of(text)))
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found: list[list] = [[] for _ in fields]
+                for t in part.column(part.num_columns - 1).to_pylist():
+                    ids = c.encode(t)
+                    row = (len(ids), sha(c.decimal(ids).encode()), sha(c.decode(ids)), np.array(ids, dtype=np.int32))
+                    for column, value in zip(found, row):
+                        column.append(value)
+                made = pa.StructArray.from_arrays([pa.array(v, type=k) for v, k in zip(found, kinds)], names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=schema.names)
+
+    return kept.mapInArrow(run, schema)

@@ -30,8 +30,8 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digest(docs, BPE_RANKS, public_tokenizers.PATTERN).select("doc_id", "bpe.*")
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digest(docs, BPE_RANKS, public_tokenizers.PATTERN, ["doc_id"]).select("doc_id", "bpe.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+_FINITE = "list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where embedding is not null and not list_contains(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x)), true)"
+ORACLES: dict[str, str] = {
+    "op5_topk": f"""with q as (select vec_id, list_transform(v, lambda x: floor(256 * x)) as v from (select vec_id, {_FINITE})),
+        s as (select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.v, b.v) as bigint) as score from q a join q b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
+        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s) select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op6_embed_dedup": f"""with recursive u as (select vec_id, label, {_FINITE}), w as (select * from u where label is not null and list_dot_product(v, v) > 0),
+        p as (select a.vec_id as a, b.vec_id as b from w a join w b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98),
+        g as (select vec_id as start, vec_id as node from embeddings union select start, b from g join p on node = a),
+        c as (select start, min(node) as component_id from g group by start)
+        select e.vec_id, (select count(*) from p where a = e.vec_id) as n_links, component_id, e.vec_id = component_id as kept from embeddings e join c on start = e.vec_id""",
+}
