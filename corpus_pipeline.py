@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.digest(docs, BPE_RANKS, public_tokenizers.PATTERN, with_ids=True)
+    out = bpe.digest(docs, BPE_RANKS, public_tokenizers.PATTERN, ["doc_id", "lang", "source"], with_ids=True)
     return out.select("doc_id", "lang", "source", "bpe.*")
 
 
