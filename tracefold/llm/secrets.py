@@ -4,7 +4,7 @@ Two character Markov models of first order, one of random strings and one of ord
 identifiers, are compared by log-likelihood ratio. The labelled samples: values that the
 fixed shapes find in the whole table and strings drawn from SHA-256 are random; runs of
 8 and more identifier characters from about ``SAMPLE_ROWS`` texts (lowest hashes, equal
-texts once) that no fixed shape covers are ordinary. Transition counts are DataFrame aggregates of at most 128 x 128
+texts once) that no fixed shape covers and that hold fewer than 3 digits are ordinary. Transition counts are DataFrame aggregates of at most 128 x 128
 cells, so the model has a fixed size and is applied as a literal.
 
 DataFrame and SQL functions only. Null texts are empty, an empty text has no spans, rows
@@ -34,6 +34,8 @@ ORDER = [*BASE, "random"]
 SAMPLE_ROWS, DRAWN = 2000, 2000
 #: A run is a secret from this log-likelihood ratio on, in all and for each transition.
 LEAST_TOTAL, LEAST_MEAN = 12.0, 0.5
+#: Transitions lean on single characters with the weight of so many observations.
+LEAN = 8.0
 MARK = "[SECRET]"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -69,6 +71,7 @@ def train(found: DataFrame, docs: DataFrame, text: str = "text") -> list[float]:
     sample = hashed_share(docs.select(text_of(text).alias("t")), F.col("t"), SAMPLE_ROWS).groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
     plain = F.regexp_replace("t", ASSIGN + "|" + PATTERNS["access"] + "|" + PATTERNS["hex"], " ")
     known = sample.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{8,}+"), F.lit(0))).alias("w"))
+    known = known.where(F.regexp_count("w", F.lit("[0-9]")) < 3)
     # what the fixed shapes find weighs no more than the drawn strings, else one alphabet hides the rest
     return _ratios([_transitions(real), _transitions(drawn)], [_transitions(known)])
 
@@ -77,15 +80,15 @@ def _ratios(random: list[dict], ordinary: list[dict]) -> list[float]:
     codes = [ord(c) for c in ALPHABET]
 
     def model(parts: list[dict]) -> dict[int, list[float]]:
-        rows: dict[int, list[float]] = {}
-        for a in codes:
-            row = [0.0] * 128
-            for counts in parts:
-                own = {b: counts.get((a, b), 0) for b in codes}
-                total = sum(own.values())
-                for b in codes:
-                    row[b] += (own[b] + 0.5) / (total + 0.5 * len(codes)) / len(parts)
-            rows[a] = row
+        rows: dict[int, list[float]] = {a: [0.0] * 128 for a in codes}
+        for counts in parts:
+            single = {b: sum(counts.get((a, b), 0) for a in codes) for b in codes}
+            n = sum(single.values())
+            for a in codes:
+                own = [counts.get((a, b), 0) for b in codes]
+                for b, c in zip(codes, own):
+                    lean = (single[b] + 0.5) / (n + 0.5 * len(codes))
+                    rows[a][b] += (c + LEAN * lean) / (sum(own) + LEAN) / len(parts)
         return rows
 
     r, o = model(random), model(ordinary)
