@@ -84,6 +84,40 @@ class Index:
         turn = F.row_number().over(Window.partitionBy("file_path").orderBy("msg_index"))
         return self.messages.where("stats is not null").select("file_path", "agent", "session_id", turn.alias("turn"), "role", "stats.*")
 
+    def list(self, **options) -> DataFrame:
+        return _commands().list_sessions(self, **options)
+
+    def resolve(self, prefix: str, agent: str | None = None) -> str:
+        from .operators.filters import resolve
+
+        return resolve(self.sessions, prefix, agent)
+
+    def show(self, prefix: str, agent: str | None = None) -> DataFrame:
+        return _commands().show(self, prefix, agent)
+
+    def search(self, query: str, **options) -> DataFrame:
+        return _commands().search(self, query, **options)
+
+    def substance(self) -> DataFrame:
+        from .operators.digest import substance
+
+        return substance(self)
+
+    def digest(self, full: bool = False) -> DataFrame:
+        from .operators.digest import digest
+
+        return digest(self, full)
+
+    def stats(self) -> DataFrame:
+        from .operators.stats import session_stats
+
+        return session_stats(self)
+
+    def global_stats(self, agent: str | None = None) -> DataFrame:
+        from .operators.stats import global_stats
+
+        return global_stats(self, agent)
+
     def register_views(self, prefix: str = "") -> None:
         """Temporary views for plain SQL."""
         views = {"sessions": self.sessions, "messages": self.messages, "tool_calls": self.tool_calls, "turn_usage": self.turns(), "related_sessions": self.related()}
@@ -102,3 +136,9 @@ class Index:
     def load(cls, spark: SparkSession, path: str) -> Index:
         calls = spark.read.parquet(f"{path}/tool_calls").withColumn("input", F.try_parse_json("input"))
         return cls.from_frames(spark.read.parquet(f"{path}/sessions"), spark.read.parquet(f"{path}/messages"), calls)
+
+
+def _commands():
+    from .plans import commands
+
+    return commands

@@ -206,6 +206,11 @@ def _digest_blocks(d: dict) -> list[str]:
     return blocks
 
 
+def archive(pages: DataFrame) -> DataFrame:
+    """Published pages (``session_id``, ``generated_at``, ``path``) below ``sessions/``, the newest first."""
+    return pages.where(F.contains("path", F.lit("sessions/"))).orderBy(F.desc("generated_at"), "session_id")
+
+
 def write(found: DataFrame, folder: str) -> None:
-    """Markdown files by slug, written by the executors; one Parquet-free text file a session."""
+    """Markdown files by slug, written by the executors, one folder a page."""
     found.select("slug", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("slug").option("lineSep", "\n").text(folder)

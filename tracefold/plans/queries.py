@@ -12,9 +12,9 @@ from ..functions import text as T
 from ..functions import timex
 from ..model import MESSAGE_STATS, SOURCE_A, SOURCE_B, SOURCE_C, Index
 from ..operators import digest as D
-from ..operators import doctor, filters, fold, redact, related, stats
+from ..operators import doctor, filters, fold, publish, redact, related, stats
 from ..operators import search as S
-from ..sources import source_a, source_b, source_c
+from ..sources import source_a, source_b, source_c, stats_cache
 from ..sources.raw import lines_of
 from ..streaming import windows
 from . import commands
@@ -685,6 +685,86 @@ def fold_source_c(spark, d):
     return _folded(source_c.fold(*_logged(spark, d, body)))
 
 
+def _event_lines(spark, d, body: str) -> tuple[DataFrame, DataFrame]:
+    rows = event_rows(spark, d).withColumn("line", F.expr(body))
+    rows = rows.where("line is not null").select("file_path", "ord", "line", F.try_parse_json("line").alias("v"))
+    return _files(rows), rows
+
+
+_USES = (
+    "with e0 as (select user_id, event_type, cast(json_extract(props, '$.k') as int) as k0, cast(json_extract(props, '$.k') as int) % 10 as k, row_number() over (partition by user_id order by ts, event_id) as ord from events), "
+    "b as (select *, last_value(case when event_type = 'click' then ord end ignore nulls) over (partition by user_id, k order by ord rows between unbounded preceding and current row) as use_ord from e0 where event_type in ('click', 'error')), "
+    "r as (select user_id, use_ord as ord, arg_max(ord, ord) as last_ord, arg_max(k0, ord) as last_k from b where event_type = 'error' and use_ord is not null group by user_id, use_ord), "
+    "u as (select user_id, ord, row_number() over (partition by user_id order by ord) as msg_index from e0 where event_type = 'click') "
+)
+
+
+@query(_USES + "select printf('%08d', u.user_id) as session_id, msg_index, case when last_k is null then 'unknown' when last_k % 2 = 0 then 'error' else 'ok' end as status, 'r' || last_ord as output from u left join r on r.user_id = u.user_id and r.ord = u.ord")
+def fold_source_a_calls(spark, d):
+    body = """case event_type when 'click' then to_json(named_struct('message', named_struct('role', 'assistant', 'content', array(named_struct('type', 'tool_use', 'id', cast(k % 10 as string), 'name', 'Bash')))))
+        when 'error' then to_json(named_struct('message', named_struct('role', 'user', 'content', array(named_struct('type', 'tool_result', 'tool_use_id', cast(k % 10 as string), 'content', concat('r', ord), 'is_error', k % 2 = 0))))) end"""
+    index = source_a.fold(*_event_lines(spark, d, body))
+    calls = index.tool_calls.join(index.sessions.select("file_path", "session_id"), "file_path")
+    return calls.select("session_id", F.col("msg_index").cast("bigint"), "status", "output")
+
+
+@query(_USES + "select printf('%08d', u.user_id) as session_id, msg_index, case when last_k is null then 'unknown' when last_k % 3 = 0 then 'ok' when last_k % 3 = 1 then 'error' else 'ok' end as status from u left join r on r.user_id = u.user_id and r.ord = u.ord")
+def exit_code_status(spark, d):
+    code = "case k % 3 when 2 then 'plain text' else to_json(named_struct('metadata', named_struct('exit_code', k % 3))) end"
+    body = f"""case event_type when 'click' then to_json(named_struct('type', 'function_call', 'name', 'shell', 'call_id', cast(k % 10 as string), 'arguments', '{{}}'))
+        when 'error' then to_json(named_struct('type', 'function_call_output', 'call_id', cast(k % 10 as string), 'output', {code})) end"""
+    files, lines = _event_lines(spark, d, body)
+    index = source_b.fold(files, source_b.classified(lines))
+    calls = index.tool_calls.join(index.sessions.select("file_path", "session_id"), "file_path")
+    return calls.select("session_id", F.col("msg_index").cast("bigint"), "status")
+
+
+@query(EV + "select session_id, coalesce(arg_max(greatest(k * 3 - k, 0), ord), 0)::bigint as total_input_tokens, arg_max(k, ord)::bigint as cached_input_tokens, max(nullif(tok, 0)) as peak, arg_max(tok, ord) filter (tok > 0) as final from e1 where event_type = 'purchase' group by session_id")
+def fold_source_b_usage(spark, d):
+    body = "case event_type when 'purchase' then to_json(named_struct('type', 'event_msg', 'payload', named_struct('type', 'token_count', 'info', named_struct('total_token_usage', named_struct('input_tokens', k * 3, 'cached_input_tokens', k), 'last_token_usage', named_struct('input_tokens', floor(greatest(value, 0D))))))) end"
+    files, lines = _event_lines(spark, d, body)
+    out = source_b.fold(files, source_b.classified(lines)).sessions
+    return out.select("session_id", "stats.total_input_tokens", "stats.cached_input_tokens", F.col("stats.peak_context_size").alias("peak"), F.col("stats.final_context_size").alias("final"))
+
+
+@query(EV + "select session_id, sum(k * 3 - k)::bigint as total_input_tokens, sum(k)::bigint as cached_input_tokens, max(nullif(k * 3, 0))::bigint as peak from e1 where event_type = 'purchase' group by session_id having sum(k) > 0")
+def fold_source_c_usage(spark, d):
+    body = "case event_type when 'purchase' then to_json(named_struct('type', 'turn_end', 'usage', named_struct('inputTokens', k * 3, 'cachedInputTokens', k))) when 'error' then to_json(named_struct('type', 'loop_end', 'usage', named_struct('inputTokens', 999999))) end"
+    out = source_c.fold(*_event_lines(spark, d, body)).sessions.where("stats is not null")
+    return out.select("session_id", "stats.total_input_tokens", "stats.cached_input_tokens", F.col("stats.peak_context_size").alias("peak"))
+
+
+@query("select hour(ts)::bigint as hour, count(*) as n from events group by 1")
+def stats_cache_hours(spark, d):
+    counts = load(spark, d, "events").groupBy(F.hour("ts").cast("string").alias("h")).agg(F.count("*").alias("n"))
+    doc = counts.agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("m")).select(F.to_json(F.struct(F.lit(1).alias("version"), F.col("m").alias("hourCounts"), F.array(F.lit(1)).alias("modelUsage"))).alias("value"))
+    return stats_cache.coerce(doc).select(F.explode("hour_counts").alias("h", "n")).select(F.col("h").cast("bigint").alias("hour"), "n")
+
+
+@query(CONV + ", g as (select session_id, arg_min(text, msg_index) filter (role = 'user' and regexp_matches(text, '\\S')) as goal from t group by session_id) select session_id, case when goal is null then 'Session ' || session_id else trim(split_part(case when length(goal) > 4000 then substr(goal, 1, 4000) || ' …[truncated]' else goal end, chr(10), 1)) end as title from g")
+def bundle_titles(spark, d):
+    return publish.bundles(conversation_index(spark, d), generated_at="t").select("session_id", "title")
+
+
+@query(CONV + "select session_id, message_count + 0 as messages from s")
+def bundle_transcripts(spark, d):
+    found = publish.bundles(conversation_index(spark, d), generated_at="t")
+    return found.select("session_id", F.size("bundle.session.messages").cast("bigint").alias("messages"))
+
+
+@query()
+def markdown_pages(spark, d):
+    """Every conversation as a published page, redacted."""
+    found = publish.redacted(publish.bundles(conversation_index(spark, d), generated_at="2026-01-01T00:00:00.000Z", mode="cautious"), "cautious")
+    return publish.markdown(found).select("session_id", "slug", "markdown")
+
+
+@query(CONV + "select session_id, started_at as generated_at from s")
+def published_archive(spark, d):
+    rows = conversation_index(spark, d).sessions.select("session_id", F.col("started_at").alias("generated_at"), F.concat(F.lit("sessions/"), "session_id").alias("path"))
+    return publish.archive(rows).select("session_id", "generated_at")
+
+
 # Generic relational forms over the star schema.
 
 

@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 from functools import reduce
-from types import ModuleType
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import SOURCE_A, SOURCE_B, SOURCE_C, Index
+from ..model import SOURCE_A, SOURCE_B, SOURCE_C, VALID_AGENTS, Index
 from . import source_a, source_b, source_c
 from .raw import configure, read_texts
 
-#: Modules with AGENT, DEFAULT_ROOT, discover(spark, root) and parse(spark, paths, agent_ord), in scan order.
-REGISTRY: dict[str, ModuleType] = {SOURCE_A: source_a, SOURCE_B: source_b, SOURCE_C: source_c}
+
+class Source(Protocol):
+    """What a source is: a module or an object with these."""
+
+    AGENT: str
+    DEFAULT_ROOT: str | None
+
+    def discover(self, spark: SparkSession, root: str) -> list[str]:
+        """Sorted log paths below a root; none if it is missing."""
+
+    def parse(self, spark: SparkSession, paths: list[str], agent_ord: int) -> Index:
+        """An index with a session for every path, whatever it holds."""
+
+
+#: Sources in scan order.
+REGISTRY: dict[str, Source] = {SOURCE_A: source_a, SOURCE_B: source_b, SOURCE_C: source_c}
+
+
+def register(source: Source) -> None:
+    """Add a source to the end of the scan order, or replace the one of the same label."""
+    REGISTRY[source.AGENT] = source
+    if source.AGENT not in VALID_AGENTS:
+        VALID_AGENTS.append(source.AGENT)
 
 
 def default_roots() -> dict[str, str]:
