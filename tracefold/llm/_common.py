@@ -49,6 +49,27 @@ def drop_saved(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+ROW = ["__row1", "__row2"]
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit hash of all columns: an identity that any rerun finds again.
+
+    Rows that agree in every column share it.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumns({"__row1": F.xxhash64(*columns), "__row2": F.xxhash64(F.lit(5), *reversed(columns))})
+
+
+def pick(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``with_row_key`` joined to ``chosen`` by that key, rows that are wholly alike once.
+
+    A merge join at any size: texts move once, and a choice that happens to be small isn't
+    broadcast.
+    """
+    return keyed.dropDuplicates(ROW).join(chosen.hint("merge"), ROW)
+
+
 def hashed_share(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """About ``rows`` rows of ``df``, those whose hash of ``key`` is lowest; all, if it has fewer.
 

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import saved, text_of
+from ._common import ROW, pick, saved, text_of, with_row_key
 
 BLOCK, GRID, JOBS = 512, 31, 6
 
@@ -89,10 +89,10 @@ def plan(docs: DataFrame, source: str = "source", text: str = "text", ident: str
 
 def realise(docs: DataFrame, source: str = "source", text: str = "text", ident: str = "doc_id", **target) -> DataFrame:
     """``docs``, each row as often as ``plan`` takes it."""
-    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
-    taken = plan(rows.select("__row", F.col(ident).alias("ident"), F.col(source).alias("source"), F.col(text).alias("text")), ident="ident", **target)
-    taken = saved(taken.where("copies > 0").select("__row", "copies"))
-    repeated = rows.join(taken, "__row").withColumn("__copy", F.explode(F.expr("sequence(1L, copies)")))
+    keyed = with_row_key(docs)
+    taken = plan(keyed.select(*ROW, F.col(ident).alias("ident"), F.col(source).alias("source"), F.col(text).alias("text")), ident="ident", **target)
+    taken = saved(taken.where("copies > 0").groupBy(*ROW).agg(F.sum("copies").alias("__copies")))
+    repeated = pick(keyed, taken).withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
     return repeated.select(*docs.columns)
 
 

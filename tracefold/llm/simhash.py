@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._buckets import compare, forest
-from ._common import components, saved, text_of
+from ._common import ROW, components, pick, saved, text_of, with_row_key
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 TRIPLES = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
@@ -72,7 +72,7 @@ def _links(members: pd.DataFrame, side: np.ndarray | None) -> pd.DataFrame | Non
     return pd.DataFrame({"a": a, "b": b}) if len(a) else None
 
 
-def near_links(nodes: DataFrame, block: int = 512) -> DataFrame:
+def near_links(nodes: DataFrame, block: int = 256) -> DataFrame:
     """Spanning links ``(a, b)`` between distinct fingerprints (column ``node``)."""
     byte = lambda i: F.shiftrightunsigned("node", 8 * i).bitwiseAND(255)
     keys = [F.lit(k << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c) for k, (a, b, c) in enumerate(TRIPLES)]
@@ -93,11 +93,11 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` of each class: the smallest id, and of rows that share it one."""
-    docs = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
-    marked = fingerprints(docs.select("__row", F.col(ident).alias("ident"), F.col(text).alias("text"))).select("__row", "ident", "fp")
-    base = saved(marked)
-    nodes = saved(base.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct(F.col("ident").isNull().alias("void"), "ident", "__row")).alias("best")))
+    keyed = with_row_key(docs)
+    base = saved(fingerprints(keyed.select(*ROW, F.col(ident).alias("ident"), F.col(text).alias("text"))).select(*ROW, "ident", "fp"))
+    best = F.min(F.struct(F.col("ident").isNull().alias("void"), "ident", *ROW))
+    nodes = saved(base.groupBy(F.col("fp").alias("node")).agg(best.alias("best")))
     roots = saved(components(near_links(nodes)))
     placed = nodes.join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
-    kept = saved(placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row")))
-    return docs.join(kept, "__row", "left_semi").drop("__row")
+    kept = saved(placed.groupBy("root").agg(F.min("best").alias("best")).select(*(F.col(f"best.{c}").alias(c) for c in ROW)))
+    return pick(keyed, kept).select(*docs.columns)
