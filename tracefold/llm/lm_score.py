@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._common import saved, text_of
 
 WORD_SHARE, PAIR_SHARE, LEAN = 1e-5, 5e-6, 16.0
-_FLUSH = 300_000
+_FLUSH, _HELD = 150_000, 1_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -64,6 +64,12 @@ def _word_counts(both: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(amount(0).alias("n0"), amount(1).alias("n1"))
 
 
+def _slices(texts: pd.Series) -> Iterator[pd.Series]:
+    """Few texts at a time: the words of a whole Arrow batch would fill a worker."""
+    for at in range(0, len(texts), 256):
+        yield texts.iloc[at : at + 256]
+
+
 def _codes(texts, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes prev * size + word of all tokens of ``texts``, the words, and tokens a text."""
     split = [words_of(t) for t in texts]
@@ -90,15 +96,14 @@ def _pair_counts(both: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for side in (0, 1):
                 texts = batch["t"][batch["side"] == side]
-                if not len(texts):
-                    continue
-                held[side].append(np.unique(_codes(texts, shared.value)[0], return_counts=True))
-                if sum(len(c) for c, _ in held[side]) > 4_000_000:
-                    codes, n = merged(side)
-                    held[side] = [(codes, n)]
-                    if len(codes) > 2_000_000:
-                        yield frame(side, codes, n)
-                        held[side] = []
+                for part in _slices(texts):
+                    held[side].append(np.unique(_codes(part, shared.value)[0], return_counts=True))
+                    if sum(len(c) for c, _ in held[side]) > 2 * _HELD:
+                        codes, n = merged(side)
+                        held[side] = [(codes, n)]
+                        if len(codes) > _HELD:
+                            yield frame(side, codes, n)
+                            held[side] = []
         for side in (0, 1):
             if held[side]:
                 yield frame(side, *merged(side))
@@ -166,7 +171,8 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", into: str = "lm")
     @F.pandas_udf("n_tokens long, target_loss double, background_loss double, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n, t, b = model.value.losses(batch)
-            yield pd.DataFrame({"n_tokens": n, "target_loss": t.round(9), "background_loss": b.round(9), "score": (t - b).round(9)})
+            found = [model.value.losses(part) for part in _slices(batch)] or [model.value.losses([])]
+            n, t, b = (np.concatenate(x) for x in zip(*found))
+            yield pd.DataFrame({"n_tokens": n, "target_loss": t, "background_loss": b, "score": t - b})
 
     return docs.withColumn(into, run(text_of(text)))
