@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from ._common import text_of
 
-MEMO_LIMIT, SLICE = 250_000, 256
+MEMO_LIMIT, SLICE = 200_000, 256
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -53,6 +53,8 @@ class PerfectHash:
         for rank, key in enumerate(keys):
             h = xxhash.xxh64_intdigest(key)
             groups.setdefault(h % self.width, []).append((h, rank))
+        if len({h for members in groups.values() for h, _ in members}) < n:
+            raise ValueError("keys repeat, or their hashes do")
         free = bytearray(b"\1") * n
         singles = []
         for bucket, members in sorted(groups.items(), key=lambda x: -len(x[1])):
@@ -75,7 +77,8 @@ class PerfectHash:
             self._put(slot, keys[rank], rank, bytearray(n))
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 17) + d * ((h >> 41) | 1)) % self.size
+        """A slot that each displacement draws anew, so the search for one always ends."""
+        return (((h ^ d * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 32) % self.size
 
     def _put(self, slot: int, key: bytes, rank: int, free: bytearray) -> None:
         self.keys[slot], self.ranks[slot] = key, rank
@@ -100,7 +103,7 @@ class Codec:
 
     def _ready(self) -> None:
         self.split = regex.compile(self.pattern).findall
-        self.memo, self.near = _Memo(self), _Near(self.hash)
+        self.memo, self.near = _Table(lambda piece: self.piece(piece.encode())), _Table(self.hash.get)
         self.digits = [str(i) for i in range(len(self.tokens))]
 
     def __getstate__(self) -> dict:
@@ -144,7 +147,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         for table in (self.memo, self.near):
             if len(table) > MEMO_LIMIT:
-                table.clear()
+                table.turn()
         return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -154,28 +157,25 @@ class Codec:
         return " ".join(map(self.digits.__getitem__, ids))
 
 
-class _Memo(dict):
-    def __init__(self, codec: Codec):
-        self.codec = codec
+class _Table(dict):
+    """What was computed lately, in two generations: a full young one replaces the old one."""
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.codec.piece(piece.encode())
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    longest = 64
 
+    def __init__(self, compute):
+        self.compute, self.old = compute, {}
 
-class _Near(dict):
-    """Ranks of the joins met while merging."""
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= self.longest:
+            self[key] = value
+        return value
 
-    def __init__(self, hash_: PerfectHash):
-        self.hash = hash_
-
-    def __missing__(self, word: bytes) -> int:
-        rank = self.hash.get(word)
-        if len(word) <= 32:
-            self[word] = rank
-        return rank
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
 
 def shared_codec(spark: SparkSession, path: str, pattern: str):
