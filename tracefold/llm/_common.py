@@ -32,10 +32,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a scratch table and read it back: lineage ends at durable files."""
+    """Write ``df`` to a scratch table and read it back: lineage ends at durable files.
+
+    The folder of the application goes when its driver ends.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    top = scratch_dir(spark)
+    path = f"{top}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
