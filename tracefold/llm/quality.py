@@ -7,7 +7,8 @@ recursion, weighted by line length, average to the share of good text, and a log
 curve with one slope and one offset turns that share into the probability of label 1.
 
 The field is fitted on about ``SAMPLE_ROWS`` labelled rows (lowest hashes) outside the
-held-out fold; whatever is scored is scored whole. Inputs are the text alone.
+held-out fold, of at most ``SAMPLE_CHARS`` characters each, which bounds what the driver
+holds; whatever is scored is scored whole. Inputs are the text alone.
 
 Null texts are read as empty; an empty text is one empty line and has a score like any
 other. Labels that are null or not 0 or 1, and rows whose text is missing, don't train;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._common import hashed_share, saved, text_of
 
-SAMPLE_ROWS, FOLDS, THRESHOLD = 3000, 5, 0.3
+SAMPLE_ROWS, SAMPLE_CHARS, FOLDS, THRESHOLD = 3000, 32_768, 5, 0.3
 RIDGE, ROUNDS, CELLS = 1.0, 120, 400_000
 _UP, _LOW, _DIGIT, _SPACE, _STOP, _MARK = range(1, 7)
 
@@ -214,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     marks = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull() & ~held_out(ident))
     marks = marks.groupBy(F.col(ident).alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__y"))
     picked = saved(hashed_share(marks, F.col("__id"), rows))
-    texts = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__t")).where("__t is not null")
+    texts = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__t")).where(F.length("__t") <= SAMPLE_CHARS)
     found = texts.join(F.broadcast(picked), "__id").dropDuplicates(["__id"]).select("__id", "__t", "__y").collect()
     found.sort(key=lambda r: r["__id"])
     return fit([r["__t"] for r in found], [r["__y"] for r in found])
