@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe, licences, lm_score, quality
+from tracefold.llm import bpe, licences, lm_score, lm_whole, quality
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SF = "/root/testdata/sf0.001"
@@ -193,3 +193,20 @@ def test_lm_edges(spark, docs):
     assert lm_score.score(docs, lm_score.train(docs, none)).count() == docs.count()
     empty = docs.where("false")
     assert lm_score.score(empty, lm_score.train(empty, none)).count() == 0
+
+
+def test_lm_whole_against_dictionaries(spark, monkeypatch):
+    """Every word and pair counts, also where cut-offs by share would take rare ones away."""
+    monkeypatch.setattr(lm_whole, "CHUNK", 7)
+    texts = [None, "", " \t", "A b x", "a b a c", "a b a c", "c c c c d\x0be", "é É ü", *(f"w{i} often often" for i in range(40))]
+    docs = spark.createDataFrame([(None if i < 2 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    target = spark.createDataFrame([("a b d",), ("d d b a w1 often",), (None,)], "text string")
+    monkeypatch.setattr(lm_score, "WORD_SHARE", 0)
+    monkeypatch.setattr(lm_score, "PAIR_SHARE", 0)
+    want = plain_losses([t or "" for t in texts], ["a b d", "d d b a w1 often"])
+    want = [(None if i < 2 else i // 2, n, round(t, 8), round(b, 8), round(t - b, 8)) for i, (n, t, b) in enumerate(want)]
+    got = [(r[0], r[1], *(round(x, 8) for x in r[2:])) for r in lm_whole.score(docs, target, ["doc_id"]).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    none = docs.where("false")
+    assert lm_whole.score(none, target, ["doc_id"]).count() == 0
+    assert lm_whole.score(docs, target.where("false"), ["doc_id"]).count() == len(texts)

@@ -1,0 +1,163 @@
+"""Cross-entropy difference between two bigram models of every word and every pair.
+
+The formulas are those of ``lm_score``, without its cut-offs: each word and each pair of
+either corpus counts, so the counts grow with the input. They stay tables throughout and the
+driver sees three sums. Texts are split once into chunks of about ``CHUNK`` tokens, numbered
+by the chunk's own words. A chunk sends each of its words and pairs once, whatever their
+number, to where that key is summed over all chunks, and gets the sums back; so the most
+common pair is one row a chunk.
+
+Words are known by a 64-bit hash, pairs by two. A second hash of 64 bits tells different
+words of equal hash, which ends the run rather than mix their counts.
+
+Null texts are empty; a document without words has 0 tokens and zero losses. Repeated rows
+and repeated ids stay apart. An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
+
+from ._common import saved, text_of
+from .lm_score import LEAN, words_of
+
+CHUNK = 400_000
+_ROWS = "chunk string, side int, word boolean, a long, b long, at int, n long, c long"
+
+
+def _chunk(rows: list, side: int, part: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    split = [r[-1] for r in rows]
+    index = {b"": 0}  # the start of a text is the word of no bytes
+    ids = np.fromiter((index.setdefault(w, len(index)) for w in chain.from_iterable(split)), dtype=np.int32)
+    hashes = np.frombuffer(b"".join(blake2b(w, digest_size=16).digest() for w in index), dtype=np.int64).reshape(-1, 2)
+    columns = [pa.array([part]), pa.array([side], pa.int32())]
+    columns += [pa.array([[r[i] for r in rows]], pa.list_(t)) for i, t in enumerate(types)]
+    lengths = np.array([len(w) for w in split], dtype=np.int32)
+    columns += [pa.array([x.tobytes()], pa.binary()) for x in (ids, lengths, hashes)]
+    return pa.RecordBatch.from_arrays(columns, names=["chunk", "side", *(f"k{i}" for i in range(len(types))), "ids", "lengths", "hashes"])
+
+
+def _chunks(df: DataFrame, keys: list[str], text: str, side: int, like: StructType) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, done, held, size, types = TaskContext.get().partitionId(), 0, [], 0, None
+        for batch in batches:
+            types = types or [f.type for f in batch.schema][:-1]
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                for row in zip(*(c.to_pylist() for c in piece.columns)):
+                    held.append((*row[:-1], words_of(row[-1])))
+                    size += len(held[-1][-1])
+                    if size >= CHUNK:
+                        yield _chunk(held, side, f"{side}-{part}-{done}", types)
+                        done, held, size = done + 1, [], 0
+        if held:
+            yield _chunk(held, side, f"{side}-{part}-{done}", types)
+
+    return df.select(*keys, text_of(text).alias("__t")).mapInArrow(run, like)
+
+
+def _numbers(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word and predecessor of each token, tokens a text, hashes, and codes of the pairs."""
+    ids, lengths = (np.frombuffer(row[c], dtype=np.int32).astype(np.int64) for c in ("ids", "lengths"))
+    hashes = np.frombuffer(row["hashes"], dtype=np.int64).reshape(-1, 2)
+    before = np.zeros_like(ids)
+    before[1:] = ids[:-1]
+    before[np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]] = 0
+    return ids, before, lengths, hashes, before * len(hashes) + ids
+
+
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each word and each pair of a chunk, with its number there."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, before, _, hashes, codes = _numbers(row)
+            size = len(hashes)
+            pairs, n = np.unique(codes, return_counts=True)
+            everything = size + len(pairs)
+            columns = {
+                "chunk": pa.array([row["chunk"]]).take(pa.array(np.zeros(everything, dtype=np.int32))),
+                "side": pa.array(np.full(everything, row["side"], dtype=np.int32)),
+                "word": pa.array(np.arange(everything) < size),
+                "a": pa.array(np.concatenate([hashes[:, 0], hashes[pairs // size, 0]])),
+                "b": pa.array(np.concatenate([np.zeros(size, dtype=np.int64), hashes[pairs % size, 0]])),
+                "at": pa.array(np.arange(everything, dtype=np.int32)),
+                "n": pa.array(np.concatenate([np.bincount(ids, minlength=size), n]).astype(np.int64)),
+                "c": pa.array(np.concatenate([np.bincount(before, minlength=size), np.zeros(len(pairs), dtype=np.int64)]).astype(np.int64)),
+            }
+            out = pa.RecordBatch.from_pydict(columns)
+            for at in range(0, everything, 50_000):
+                yield out.slice(at, 50_000)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            hashes = np.frombuffer(row["hashes"], dtype=np.int64).reshape(-1, 2)[1:]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(hashes[:, 0].copy()), "b": pa.array(hashes[:, 1].copy())})
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.to_pylist()
+        yield pa.RecordBatch.from_pydict({"side": pa.array([r["side"] for r in rows], pa.int32()), "n": pa.array([len(r["ids"]) // 4 for r in rows], pa.int64())})
+
+
+def score(docs: DataFrame, target: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys`` of every row of ``docs`` with tokens, both losses and their difference."""
+    kinds = [docs.schema[k] for k in keys]
+    like = StructType().add("chunk", "string").add("side", "integer")
+    for i, f in enumerate(kinds):
+        like = like.add(f"k{i}", ArrayType(f.dataType))
+    like = like.add("ids", "binary").add("lengths", "binary").add("hashes", "binary")
+    same = target.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in kinds), F.col(text))
+    store = saved(_chunks(docs, keys, text, 0, like).unionByName(_chunks(same, keys, text, 1, like)))
+
+    words = store.select("hashes").mapInArrow(_hashes, "a long, b long").groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    n_words, mixed = words.agg(F.count("*"), F.count(F.when(F.col("low") != F.col("high"), 1))).first()
+    if mixed:
+        raise RuntimeError("different words have equal hashes")
+    totals = {r["side"]: r["n"] for r in store.select("side", "ids").mapInArrow(_tokens, "side int, n long").groupBy("side").agg(F.sum("n").alias("n")).collect()}
+    n = totals.get(0, 0), totals.get(1, 0)
+
+    of_key = Window.partitionBy("word", "a", "b")
+    amount = lambda c, s: F.sum(F.when(F.col("side") == s, F.col(c)).otherwise(0)).over(of_key)
+    sums = store.select("chunk", "side", "ids", "lengths", "hashes").mapInArrow(_sent, _ROWS).select("chunk", "side", "at", *(amount(c, s).alias(f"{c}{s}") for c in "nc" for s in (0, 1)))
+    sums = sums.where("side = 0").drop("side")
+
+    def losses(found: pa.Table, rows: pa.Table) -> pa.Table:
+        row = rows.to_pylist()[0]
+        ids, before, lengths, hashes, codes = _numbers(row)
+        size = len(hashes)
+        at = found["at"].to_numpy()
+        full = {c: np.zeros(len(at)) for c in ("n0", "n1", "c0", "c1")}
+        for c, v in full.items():
+            v[at] = found[c].to_numpy()
+        pairs, which = np.unique(codes, return_inverse=True)
+        word, ahead = pairs % size, pairs // size
+        text_at = np.repeat(np.arange(len(lengths)), lengths)
+        means = []
+        for s in (1, 0):
+            single = (full[f"n{s}"][:size] + 0.5) / (n[s] + 0.5 * (n_words + 1))
+            loss = -np.log((full[f"n{s}"][size:] + LEAN * single[word]) / (full[f"c{s}"][ahead] + LEAN))
+            means.append(np.bincount(text_at, loss[which], minlength=len(lengths)) / np.maximum(lengths, 1))
+        names = [f"k{i}" for i in range(len(keys))]
+        columns = [rows[k].combine_chunks().flatten() for k in names]
+        return pa.table([*columns, pa.array(lengths), *map(pa.array, (means[0], means[1], means[0] - means[1]))], names=[*keys, "n_tokens", "target_loss", "background_loss", "score"])
+
+    result = StructType()
+    for f in kinds:
+        result = result.add(f.name, f.dataType)
+    for c, t in (("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("score", "double")):
+        result = result.add(c, t)
+    own = store.where("side = 0").drop("side")
+    return sums.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(losses, result)

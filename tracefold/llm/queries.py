@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, licences, lm_score, mixing, pii, quality, secrets, simhash, topk
+from . import bpe, embed_dedup, licences, lm_score, lm_whole, mixing, pii, quality, secrets, simhash, topk
 from ._common import table
 
 #: No source is passed over more than this often within a budget of all tokens.
@@ -63,6 +63,13 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
+def op8_lm_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_lm_score, by models of every word and pair."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_whole.score(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.plan(docs, repeats=MIX_REPEATS)
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embed_dedup": op6_embed_dedup,
     "op7_simhash": op7_simhash,
     "op8_lm_score": op8_lm_score,
+    "op8_lm_score_whole": op8_lm_score_whole,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
 }
@@ -95,7 +103,20 @@ def _lm_side(side: int) -> str:
     return f"-ln((coalesce(k.n{side}, 0) + {lm_score.LEAN} * ({single})) / (coalesce(c.n{side}, 0) + {lm_score.LEAN}))"
 
 
+def _whole_side(side: int) -> str:
+    return f"-ln((k.n{side} + {lm_score.LEAN} * ((u.n{side} + 0.5) / (t.n{side} + 0.5 * ((select count(*) from u) + 1)))) / (c.n{side} + {lm_score.LEAN}))"
+
+
 ORACLES: dict[str, str] = {
+    "op8_lm_score_whole": f"""with a as (select 0 as side, row_number() over () as row, doc_id, {_WORDS} as ws from documents union all select 1, row_number() over (), null, {_WORDS} from benchmark),
+        e as (select side, row, unnest(ws) as w, generate_subscripts(ws, 1) as i from a), d as (select *, coalesce(lag(w) over (partition by side, row order by i), '') as p from e),
+        t as (select count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1 from d),
+        u as (select w, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1 from d group by w),
+        c as (select p, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1 from d group by p),
+        k as (select p, w, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1 from d group by p, w),
+        l as (select row, {_whole_side(1)} as target, {_whole_side(0)} as background from d cross join t join u on u.w = d.w join c on c.p = d.p join k on k.p = d.p and k.w = d.w where side = 0),
+        m as (select row, count(*) as n, avg(target) as target, avg(background) as background from l group by row)
+        select doc_id, coalesce(n, 0) as n_tokens, coalesce(round(target, 6), 0) as target_loss, coalesce(round(background, 6), 0) as background_loss, coalesce(round(target - background, 6), 0) as score from a left join m using (row) where side = 0""",
     "op8_lm_score": f"""with a as (select doc_id, {_WORDS} as ws from documents), b as (select {_WORDS} as ws from benchmark),
         dw as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from a), bw as (select row_number() over () as doc_id, ws from b), tw as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from bw),
         t as (select (select count(*) from dw) as n0, (select count(*) from tw) as n1),
