@@ -550,6 +550,36 @@ def redact_team_id(spark, d):
     return _counted(_redacted(spark, d, "cautious", "format_string('the team ID is `AB%08d` ok', doc_id)"), "secret_like")
 
 
+def _whole(name: str, mode: str, kind: str, literal: str | None = None, outputs: tuple[str, ...] = ()) -> None:
+    """Register ``name``: the whole texts of the documents, with a literal behind them where texts seldom hold a match."""
+
+    def put(spark, d):
+        text = "coalesce(text, '')"
+        return _counted(_redacted(spark, d, mode, f"concat({text}, ' ', {literal})" if literal else text, outputs=outputs), kind)
+
+    put.__name__ = name
+    query()(put)
+
+
+_whole("redact_email_whole", "cautious", "email")
+_whole("redact_env_cautious_whole", "cautious", "env_assignment", "concat('a SECRET_TOKEN=abc', doc_id, ' PASSWORD=x b FOO=1')")
+_whole("redact_env_strict_whole", "strict", "env_assignment", "concat('a SECRET_TOKEN=abc', doc_id, ' PASSWORD=\"x y\" b FOO=1')")
+_whole("redact_tokens_whole", "minimal", "secret_like", "concat('x sk-abcdefgh', doc_id, ' ghp_abcdefgh', doc_id, ', glpat-abcdefgh pat_abcd.efgh eyJa', doc_id, '.b-c.d_e sk-short')")
+_whole("redact_hex_strict_whole", "strict", "secret_like")
+_whole("redact_ten_char_whole", "cautious", "secret_like", "concat('dev AB12CD34E', case when doc_id % 2 = 0 then 'F' else '' end, ', ABCDEFGHIJ 1234567890')")
+_whole("redact_home_whole", "cautious", "home_path", "concat('at /Users/u', doc_id, '/x, not /homes/a or /home/a, but /home/v', doc_id)")
+_whole("redact_authfile_whole", "cautious", "known_auth_file", "concat('see conf/.npmrc and a', doc_id, '.pem')")
+_whole("redact_team_id_whole", "cautious", "secret_like", "format_string('the team ID is `AB%08d` ok', doc_id)")
+_whole("redact_collapse_whole", "strict", "long_output_collapsed", outputs=("text",))
+
+
+@query()
+def redact_counts_by_kind_whole(spark, d):
+    text = "concat(coalesce(text, ''), ' API_KEY=v', doc_id, ' sk-abcdefghij me@example.com https://h.org/p?q=1 /home/me/x a/.npmrc')"
+    rows = _redacted(spark, d, "cautious", text).select(F.explode("redactions").alias("kind", "n"))
+    return rows.groupBy("kind").agg(F.sum("n").alias("n"))
+
+
 # Scalar functions.
 
 
