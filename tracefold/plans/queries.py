@@ -668,16 +668,26 @@ def jsonl_parse_tolerant(spark, d):
     return lines_of(rows).select(F.col("file_path").cast("bigint").alias("event_id"), F.expr("try_variant_get(v, '$.k', 'bigint')").alias("k"))
 
 
+def _leaves(spark, rows: DataFrame) -> DataFrame:
+    """Leaves of the values ``v`` with their paths, level by level as far as any value goes down.
+
+    A recursive query would stop at Spark's limits of rows and levels.
+    """
+    nested = F.expr("schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%'")
+    leaf = lambda level: level.where(~nested).select("event_id", "path", F.expr("to_json(v)").alias("leaf"))
+    level = rows.withColumn("path", F.lit("$"))
+    leaves = leaf(level)
+    while not (inner := level.where(nested)).isEmpty():
+        level = spark.sql("select w.event_id, case when x.key is null then concat(w.path, '[', x.pos, ']') else concat(w.path, '.', x.key) end as path, x.value as v from {inner} w, lateral variant_explode(w.v) x", inner=inner)
+        leaves = leaves.unionByName(leaf(level))
+    return leaves
+
+
 @query()
 def variant_recursive_paths(spark, d):
-    """Leaves of nested values with their paths, by a recursive query."""
-    rows = event_rows(spark, d).where("event_type = 'error'").select("event_id", F.try_parse_json(F.expr("to_json(struct(k, struct(array(user_id, k) as b, event_type) as a))")).alias("v"))
-    rows.createOrReplaceTempView("nested_values")
-    return spark.sql(
-        """with recursive walk(event_id, path, v) as (select event_id, '$', v from nested_values
-             union all select w.event_id, case when x.key is null then concat(w.path, '[', x.pos, ']') else concat(w.path, '.', x.key) end, x.value from walk w, lateral variant_explode(w.v) x)
-           select event_id, path, to_json(v) as leaf from walk where schema_of_variant(v) not like 'OBJECT%' and schema_of_variant(v) not like 'ARRAY%'"""
-    )
+    """Leaves of nested values with their paths."""
+    rows = event_rows(spark, d).select("event_id", F.try_parse_json(F.expr("to_json(struct(k, struct(array(user_id, k) as b, event_type) as a))")).alias("v"))
+    return _leaves(spark, rows)
 
 
 def _files(rows: DataFrame) -> DataFrame:
