@@ -108,6 +108,30 @@ def test_tags(spark):
     assert out[2]["labels"] == "" and out[3]["labels"] == "mit"
 
 
+LINES = {
+    "<!-- SPDX-License-Identifier: MIT -->": "mit",
+    "SPDX-License-Identifier: MIT-->": "mit",
+    "# SPDX-License-Identifier: MIT Copyright 2020 A. B.": "mit",
+    "/* SPDX-License-Identifier: GPL-2.0+ OR MIT */": "gpl-2.0+ mit or",
+    "Files carry SPDX-License-Identifier: Apache-2.0. And more of this.": "apache-2.0",
+    "SPDX-License-Identifier: (MIT OR GPL-2.0) (c) someone": "mit gpl-2.0 or",
+    "SPDX-License-Identifier: MIT OR -->": "mit",
+    "SPDX-License-Identifier: MIT)": "mit",
+    "SPDX-License-Identifier: MIT AND (GPL-2.0": "mit",
+    "SPDX-License-Identifier: MIT WITH a WITH b": "mit a with b with",
+    "SPDX-License-Identifier: -->": "",
+    "SPDX-License-Identifier: (MIT": "",
+    "SPDX-License-Identifier: OR MIT": "",
+}
+
+
+def test_tags_with_text_behind(spark):
+    rows = spark.createDataFrame(list(LINES.items()), "text string, want string")
+    for r in licences.scan(rows).collect():
+        assert r["licence"]["expression"] == r["want"], r["text"]
+        assert r["want"].split(" ")[0] in r["licence"]["labels"].split(",")
+
+
 def test_chain_against_enumeration(monkeypatch):
     from itertools import product
 

@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z) and cut into words, joined by single spaces; one automaton
 then finds every phrase in a single pass. Where an identifier tag stands, the expression
-behind it is parsed into postfix form and evaluated: OR takes the freer side, AND the
-stricter, WITH lifts a copyleft licence by its exception.
+behind it, as far as it is well formed, is parsed into postfix form and evaluated: OR
+takes the freer side, AND the stricter, WITH lifts a copyleft licence by its exception.
 
 Nulls are read as empty. A text without words has no places, null ends, empty labels and
 the neutral score 0.5. Repeated rows are scanned each on its own. Whole texts are read.
@@ -102,6 +102,26 @@ def postfix(expression: str) -> list[str]:
     return out
 
 
+def leading(line: str) -> str:
+    """The longest well-formed expression at the start of ``line``, up to a sentence's end; empty if there is none."""
+    best, parts, depth, operand = "", [], 0, False
+    for token in _TOKEN.findall(line):
+        name, rank = token.rstrip(".:-"), token.lower() in _RANK
+        if rank or token == ")":
+            if not operand or (token == ")" and not depth):
+                break
+        elif operand or not name:
+            break
+        parts.append(name)
+        depth += (token == "(") - (token == ")")
+        operand = not rank and token != "("
+        if operand and not depth:
+            best = " ".join(parts)
+        if "." in token[len(name) :]:
+            break
+    return best
+
+
 def evaluate(expression: str) -> tuple[float, list[str]]:
     """Freedom of an expression and the licences it names."""
     stack, names = [], []
@@ -143,13 +163,11 @@ class Scanner:
         labels = (labels | base) - {""}
         values, expressions = [freedom(x) for x in labels], []
         for found in _TAG_LINE.finditer(text) if tagged else ():
-            try:
-                value, names = evaluate(found[1])
-            except ValueError:
-                continue
-            values.append(value)
-            labels.update(names)
-            expressions.append(" ".join(postfix(found[1])))
+            if expression := leading(found[1]):
+                value, names = evaluate(expression)
+                values.append(value)
+                labels.update(filter(None, names))
+                expressions.append(" ".join(postfix(expression)))
         score = min(values) if values else NEUTRAL
         return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), "; ".join(expressions), score
 
