@@ -76,6 +76,25 @@ def test_order_is_a_permutation_by_blocks(docs, monkeypatch):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_rows_without_own_ids_are_dealt_apart(spark, monkeypatch):
+    """Blocks are told by the rows of one window: the running totals start anew in each."""
+    monkeypatch.setattr(mixing, "BLOCK", 20)
+    held, real = [], mixing.saved
+
+    def seen(df):
+        out = real(df)
+        if "own" in df.columns:
+            held.append(out)
+        return out
+
+    monkeypatch.setattr(mixing, "saved", seen)
+    alike = spark.createDataFrame([(None if i % 2 else 7, f"w{i}", "a", 1, 2) for i in range(400)], SCHEMA)
+    out = mixing.plan(alike, repeats=2.0)
+    assert out.count() == 400 and {r["copies"] for r in out.collect()} == {1}
+    sizes = [r["own"] for r in held[0].collect()]
+    assert len(sizes) > 10 and max(sizes) <= 60
+
+
 def test_least_budget_takes_every_row(docs):
     out = mixing.realise(docs, budget_share=None, repeats=2.0)
     assert out.columns == docs.columns

@@ -10,7 +10,9 @@ A weight times the budget is a source's tokens: so many whole passes, and a rest
 rest, documents are dealt into hashed blocks of about ``BLOCK`` over all sources, blocks
 and documents within them run in hash order (a permutation seeded by ``seed``), running
 totals over blocks say where each begins, and a document is taken as long as the total up
-to its end is within the rest. No task holds more than a block's documents.
+to its end is within the rest. The hash covers id, source and text, so null or repeated
+ids are dealt apart and no task holds more than a block's documents, besides rows that are
+alike in all three.
 
 DataFrame and SQL functions only. Null sources are one source; null texts are empty;
 documents of no tokens get the whole passes of their source, and the pass of the rest if
@@ -59,8 +61,9 @@ def plan(docs: DataFrame, source: str = "source", text: str = "text", ident: str
     keep = [c for c in docs.columns if c != text]
     key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     tokens = F.regexp_count(text_of(text), F.lit(r"[^ \t-\r]+")).cast("long")
-    rows = docs.withColumn("__key", key).withColumn("__n", tokens).drop(text)
-    rows = saved(rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col(ident).cast("string"), F.col("__key"))))
+    parts = [F.col(ident).cast("string"), F.col("__key"), text_of(text), *(F.col(c) for c in ROW if c in docs.columns)]
+    rows = docs.withColumn("__key", key).withColumn("__n", tokens).withColumn("__h", F.xxhash64(F.lit(seed), *parts))
+    rows = saved(rows.drop(text))
     per = saved(rows.groupBy("__key").agg(F.sum("__n").alias("tokens"), F.count("*").alias("docs")))
     total, count = per.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
     if not total:
