@@ -56,7 +56,7 @@ def plan(docs: DataFrame, source: str = "source", text: str = "text", ident: str
     """``docs`` without its text, with ``n_tokens``, ``weight`` and ``copies``.
 
     ``budget_share`` is the budget over all tokens; None is the least budget with which no
-    source falls short of one whole pass.
+    source falls short of one whole pass; there, rounding takes no pass away.
     """
     keep = [c for c in docs.columns if c != text]
     key = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
@@ -76,7 +76,8 @@ def plan(docs: DataFrame, source: str = "source", text: str = "text", ident: str
         a = exponent(shares, budget, entropy, repeats)
     z = shares.agg(F.sum(F.expr(f"pow(p, {a!r}D)"))).first()[0]
     weighed = shares.withColumn("weight", F.expr(f"pow(p, {a!r}D) / {z!r}D")).withColumn("due", F.expr(f"weight * {budget * total!r}D + 1e-6"))
-    weighed = weighed.withColumn("passes", F.expr("cast(floor(due / tokens) as bigint)")).withColumn("rest", F.expr("due - passes * tokens"))
+    weighed = weighed.withColumn("passes", F.greatest(F.expr("cast(floor(due / tokens) as bigint)"), F.lit(1 if budget_share is None else 0)))
+    weighed = weighed.withColumn("rest", F.expr("greatest(due - passes * tokens, 0)"))
     weighed = saved(weighed.select("__key", "weight", "passes", "rest"))
 
     blocks = -(-count // BLOCK)
