@@ -1,10 +1,12 @@
 import random
+import time
+from itertools import accumulate
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.llm import pii, secrets
+from tracefold.llm import _spans, pii, secrets
 
 TEXTS = [
     "write to a@b.c_d@e.f or x@@y.z, a.b%+-c@host-1.example.co.uk. and not@host",
@@ -52,6 +54,55 @@ def test_many_matches_in_one_text(spark):
     assert row["n_email"] == 3000 and row["base"] == brute.base_spans(text, brute.PII)[1]
 
 
+def test_time_grows_with_the_matches(spark):
+    """A text of one kind and one where every base span has a failing candidate beside it."""
+    for module, kinds, piece in ((pii, brute.PII, "1.2.3.4 "), (pii, brute.PII, "1.2.3.4 999.1.1.1 "), (secrets, brute.SECRETS, "secret=abcdefgh "), (secrets, brute.SECRETS, "token=abcdefgh some_ordinary_identifier_name ")):
+        took = []
+        for n in (5_000, 40_000):
+            docs = spark.createDataFrame([(1, piece * n)], "doc_id long, text string")
+            began = time.time()
+            row = module.spans(docs, ["doc_id"]).first()
+            took.append(time.time() - began)
+        assert row["base"] == brute.base_spans(piece * n, kinds)[1]
+        assert took[1] < 8 * took[0] + 5, (piece, took)
+
+
+def test_redaction_of_many(spark):
+    text = "token=abcdefgh é " * 30_000
+    began = time.time()
+    assert secrets.redact(spark.createDataFrame([(text,)], "text string")).first()["text"] == "[SECRET] é " * 30_000
+    assert time.time() - began < 30
+
+
+def test_running_totals_and_overlaps(spark):
+    rng = random.Random(3)
+    runs = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 31, 32, 33, 300, 5000)]
+    for r in spark.createDataFrame([(x,) for x in runs], "v array<bigint>").select("v", F.expr(_spans.running("v")).alias("s"), F.expr(_spans.running("v", most=True)).alias("m")).collect():
+        assert r["s"] == [0, *accumulate(r["v"])][: len(r["v"])] and r["m"] == [0, *accumulate(r["v"], max)][: len(r["v"])]
+    rows = []
+    for _ in range(60):
+        size = rng.choice([30, 200, 5000])
+        spans = [[(a, a + rng.randrange(1, 20)) for a in (rng.randrange(size) for _ in range(rng.randrange(80)))] for _ in range(2)]
+        rows.append((*spans, "".join(rng.choice("aé🎉\n") for _ in range(size + 40))))
+    made = spark.createDataFrame(rows, "a array<struct<s:bigint,e:bigint>>, f array<struct<s:bigint,e:bigint>>, t string")
+    for r in made.select("*", F.expr(_spans.apart("a", "f")).alias("x"), F.expr(_spans.masked("t", "a", "[X]")).alias("y")).collect():
+        assert r["x"] == [x for x in r["a"] if not any(y["s"] < x["e"] and y["e"] > x["s"] for y in r["f"])]
+        at, out = 0, ""
+        for s, e in sorted(r["a"]):
+            if e > at:
+                out, at = out + (r["t"][at:s] + "[X]" if s >= at else ""), e
+        assert r["y"] == out + r["t"][at:]
+
+
+def test_clashing_columns(spark):
+    names = ["base", "spans", "runs", "cand", "every", "row", "t", "scored", "coded", "found", "n_email", "n_hex", "a.b`c"]
+    docs = spark.createDataFrame([(1, "x token=abcdefgh a@b.co")], "doc_id long, text string").select("*", *(F.lit(77).alias(c) for c in names), F.create_map(F.lit("k"), F.lit(1)).alias("map"))
+    out = secrets.redact(docs).first()
+    assert out["text"] == "x [SECRET] a@b.co" and all(out[c] == 77 for c in names) and out["map"] == {"k": 1}
+    row = pii.spans(docs, docs.columns).first().asDict()
+    assert row["runs"] == row["row"] == row["a.b`c"] == 77 and row["n_email"] == 1 and row["base"] == "email:17:23"
+
+
 def test_random_strings_are_found_and_words_are_not(spark):
     words = "some_ordinary_identifier_name anotherRatherLongCamelCaseIdentifier internationalization-of-things thhaonaninererthatingof"
     key = "q7Xz9vK2mP4wL8sR1tY6uB3n"

@@ -22,10 +22,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(names: list[str], taken: list[str]) -> list[str]:
+    """``names`` but for those that an operator's own output columns replace, whatever their case."""
+    low = {t.lower() for t in taken}
+    return [n for n in names if n.lower() not in low]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(names: list[str], into: str = "row") -> Column:
+    """The named columns as one struct, out of reach of the names that a plan gives its own columns."""
+    return F.struct(*(column(n).alias(n) for n in names) if names else [F.lit(0).alias("none")]).alias(into)
+
+
+def unpacked(names: list[str], struct: str = "row") -> list[Column]:
+    return [F.col(struct).getField(n).alias(n) for n in names]
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names; a temporary one only on a single machine without."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tracefold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -55,20 +85,24 @@ def drop_saved(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-ROW = ["__row1", "__row2"]
+ROW = ["row1", "row2"]
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with a 128-bit hash of all columns: an identity that any rerun finds again.
+def row_key(docs: DataFrame) -> list[Column]:
+    """``ROW``: a 128-bit hash of all columns, an identity that any rerun finds again.
 
-    Rows that agree in every column share it.
+    Rows that agree in every column share it. Types that can't be hashed go through JSON.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumns({"__row1": F.xxhash64(*columns), "__row2": F.xxhash64(F.lit(5), *reversed(columns))})
+    columns = []
+    for f in docs.schema.fields:
+        kind = f.dataType.simpleString()
+        plain = not any(x in kind for x in ("map<", "variant", "geo"))
+        columns.append(column(f.name) if plain else F.to_json(F.struct(column(f.name).alias("v")), {"ignoreNullFields": "false"}))
+    return [F.xxhash64(*columns).alias(ROW[0]), F.xxhash64(F.lit(5), *reversed(columns)).alias(ROW[1])]
 
 
 def pick(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``with_row_key`` joined to ``chosen`` by that key, rows that are wholly alike once.
+    """Rows with ``ROW`` joined to ``chosen`` by that key, rows that are wholly alike once.
 
     A merge join at any size: texts move once, and a choice that happens to be small isn't
     broadcast.

@@ -6,9 +6,9 @@ ranges), gazetteer (top-level domains, card issuers, calling codes, first names,
 address ranges), context (cue words beside the span) and border (what touches the span).
 A Dawid-Skene model, fitted by EM on the counts of vote patterns, estimates how reliable
 each labeler is for each kind. Its posteriors train the final span classifier, a logistic
-regression on votes, kind and length. Spans of the fixed kinds that pass their check are
-base spans and stay; the classifier adds others that it puts at ``LEAST`` or more, and of
-those that fail their shape's own check only such as stand beside a cue word.
+regression on kind, length, votes, and shape together with kind and with context. Spans of
+the fixed kinds that pass their check are base spans and stay; the classifier adds others
+that it puts at ``LEAST`` or more.
 
 The counts have at most kinds x 3^4 x 3 rows, whatever the input; the models are fitted on
 them by the driver and applied as column expressions. DataFrame and SQL functions only.
@@ -23,8 +23,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved
-from ._spans import joined, locate, overlaps
+from ._common import packed, saved, text_of, unpacked, without
+from ._spans import apart, joined, located
 
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -46,6 +46,8 @@ BASE = ["email", "ip", "card", "phone"]
 LOOSE = ["masked_email", "id_number", "local_phone", "iban", "name"]
 ORDER = [*BASE, *LOOSE]
 LABELERS = ["shape", "gazetteer", "context", "border"]
+#: What the classifier sees: one weight a value of each field.
+FIELDS = ["kind", "size", *LABELERS, "kind+shape", "shape+context"]
 LEAST = 0.9
 #: Gazetteers.
 DOMAINS = "com org net edu gov io de fr es uk info eu ch at it nl be us ca".split()
@@ -112,23 +114,24 @@ def _votes(x: str) -> dict[str, str]:
     }
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` spans and ``__cand``: every candidate with its votes."""
-    out = locate(docs, PATTERNS, text, "__all")
-    out = out.withColumn("__all", F.expr(f"transform(__all, x -> named_struct('kind', {_kind('x')}, 's', x.s, 'e', x.e, 'm', x.m, 'l', x.l, 'r', x.r))"))
-    out = out.withColumn("__all", F.expr(f"transform(__all, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'm', x.m, 'l', x.l, 'r', x.r, 'ok', {_shape('x.kind', 'x.m')}))"))
-    base = ", ".join(f"'{k}'" for k in BASE)
-    out = out.withColumn("__base", F.expr(f"filter(__all, x -> x.ok and x.kind in ({base}))"))
+def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``row`` (the ``keep`` columns), ``base`` spans and ``cand``: every candidate with its votes."""
+    out = docs.select(packed(keep), text_of(text).alias("t")).select("row", F.expr(located("t", PATTERNS)).alias("every"))
+    fields = "'s', x.s, 'e', x.e, 'm', x.m, 'l', x.l, 'r', x.r"
+    out = out.withColumn("every", F.expr(f"transform(every, x -> named_struct('kind', {_kind('x')}, {fields}))"))
+    out = out.withColumn("every", F.expr(f"transform(every, x -> named_struct('kind', x.kind, {fields}, 'ok', {_shape('x.kind', 'x.m')}))"))
+    fixed = "x.kind in ({})".format(", ".join(f"'{k}'" for k in BASE))
+    out = out.withColumn("base", F.expr(f"filter(every, x -> x.ok and {fixed})"))
+    fresh = apart(f"filter(every, x -> not (x.ok and {fixed}) and (x.kind <> 'card' or length(x.m) >= 12))", "base")
     votes = ", ".join(f"'{k}', cast({v} as tinyint)" for k, v in _votes("x").items())
     size = "cast(case when length(x.m) < 10 then 0 when length(x.m) < 20 then 1 else 2 end as tinyint)"
-    fresh = f"filter(__all, x -> not (x.ok and x.kind in ({base})) and (x.kind <> 'card' or length(x.m) >= 12) and not {overlaps('x', '__base')})"
     row = f"x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'm', x.m, 'size', {size}, {votes})"
-    return out.withColumn("__cand", F.expr(f"transform(concat(__base, {fresh}), {row})")).drop("__all")
+    return out.withColumn("cand", F.expr(f"transform(concat(base, {fresh}), {row})")).drop("every")
 
 
 def train(found: DataFrame) -> dict[str, float]:
     """Reliabilities by EM, and the classifier's weights, from the counts of vote patterns."""
-    rows = found.select(F.explode("__cand").alias("x")).groupBy(*(F.col(f"x.{c}").alias(c) for c in ("kind", "size", *LABELERS))).agg(F.count("*").alias("n")).collect()
+    rows = found.select(F.explode("cand").alias("x")).groupBy(*(F.col(f"x.{c}").alias(c) for c in ("kind", "size", *LABELERS))).agg(F.count("*").alias("n")).collect()
     patterns = [(r["kind"], r["size"], tuple(r[v] for v in LABELERS), r["n"]) for r in sorted(rows)]
     posterior = _em(patterns)
     return _logistic(patterns, posterior)
@@ -165,7 +168,8 @@ def _em(patterns: list, rounds: int = 50) -> dict[tuple, float]:
 
 
 def _features(kind: str, size: int, votes: tuple) -> list[str]:
-    return ["bias", f"kind:{kind}", f"size:{size}", *(f"{v}:{x}" for v, x in zip(LABELERS, votes))]
+    value = {"kind": kind, "size": size} | dict(zip(LABELERS, votes))
+    return ["bias", *(f"{field}:{'/'.join(str(value[f]) for f in field.split('+'))}" for field in FIELDS)]
 
 
 def _logistic(patterns: list, posterior: dict, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> dict[str, float]:
@@ -186,21 +190,26 @@ def _logistic(patterns: list, posterior: dict, rounds: int = 400, rate: float =
 
 
 def decide(found: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``found`` with ``__spans``: base spans and what the classifier adds, each with its probability."""
+    """``found`` with ``spans``: base spans and what the classifier adds, each with its probability."""
     parts = [f"{weights.get('bias', 0.0)}D"]
-    for field in ("kind", "size", *LABELERS):
+    for field in FIELDS:
         own = {k.split(":", 1)[1]: w for k, w in weights.items() if k.startswith(field + ":")}
         if own:
-            parts.append(f"case cast(x.{field} as string) " + " ".join(f"when '{v}' then {w}D" for v, w in sorted(own.items())) + " else 0D end")
+            value = "concat_ws('/', " + ", ".join(f"cast(x.{f} as string)" for f in field.split("+")) + ")"
+            parts.append(f"case {value} " + " ".join(f"when '{v}' then {w}D" for v, w in sorted(own.items())) + " else 0D end")
     p = f"1D / (1D + exp(-({' + '.join(parts)})))"
-    out = found.withColumn("__scored", F.expr(f"transform(__cand, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'm', x.m, 'p', {p}, 'fit', x.shape = 1 or x.context = 1))"))
-    added = f"filter(__scored, (x, i) -> i >= size(__base) and x.p >= {LEAST}D and x.fit)"
-    return out.withColumn("__spans", F.expr(f"concat(slice(__scored, 1, size(__base)), {added})")).drop("__scored")
+    out = found.withColumn("scored", F.expr(f"transform(cand, x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e, 'm', x.m, 'p', {p}))"))
+    added = f"filter(scored, (x, i) -> i >= size(base) and x.p >= {LEAST}D)"
+    return out.withColumn("spans", F.expr(f"concat(slice(scored, 1, size(base)), {added})")).drop("scored")
 
 
 def spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns with counts, the joined base and all spans, and the spans themselves."""
-    found = saved(candidates(docs.select(*keep, F.col(text).alias("__text")), "__text").drop("__text"))
+    """The ``keep`` columns with counts, the joined base and all spans, and the spans themselves.
+
+    Columns to keep that are named like one of these give way to it.
+    """
+    keep = without(keep, [*(f"n_{k}" for k in BASE), "base", "spans", "found"])
+    found = saved(candidates(docs, keep, text))
     out = decide(found, train(found))
-    count = lambda k: F.expr(f"cast(size(filter(__base, x -> x.kind = '{k}')) as bigint)")
-    return out.select(*keep, *(count(k).alias(f"n_{k}") for k in BASE), joined("__base", BASE).alias("base"), joined("__spans", ORDER).alias("spans"), F.col("__spans").alias("found"))
+    count = lambda k: F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)")
+    return out.select(*unpacked(keep), *(count(k).alias(f"n_{k}") for k in BASE), joined("base", BASE).alias("base"), joined("spans", ORDER).alias("spans"), F.col("spans").alias("found"))

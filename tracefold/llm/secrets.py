@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hashed_share, saved, text_of
-from ._spans import joined, locate, overlaps
+from ._common import hashed_share, packed, saved, text_of, unpacked, without
+from ._spans import apart, joined, located, masked, quoted
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
 PATTERNS = {
@@ -40,19 +40,15 @@ MARK = "[SECRET]"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` spans and ``__runs`` that no base span touches."""
-    out = locate(docs, PATTERNS, text, "__all")
+def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``row`` (the ``keep`` columns), ``base`` spans and ``runs`` that no base span touches."""
+    out = docs.select(packed(keep), text_of(text).alias("t")).select("row", F.expr(located("t", PATTERNS)).alias("every"))
     holds = (
-        f"case x.kind when 'assign' then length(regexp_extract(x.m, {_sql(ASSIGN)}, 1)) >= 8"
+        f"case x.kind when 'assign' then length(regexp_extract(x.m, {quoted(ASSIGN)}, 1)) >= 8"
         " when 'access' then length(x.m) >= 16 when 'hex' then true else false end"
     )
-    out = out.withColumn("__base", F.expr(f"filter(__all, x -> {holds})"))
-    return out.withColumn("__runs", F.expr(f"filter(__all, x -> x.kind = 'random' and not {overlaps('x', '__base')})")).drop("__all")
-
-
-def _sql(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    out = out.withColumn("base", F.expr(f"filter(every, x -> {holds})"))
+    return out.withColumn("runs", F.expr(apart("filter(every, x -> x.kind = 'random')", "base"))).drop("every")
 
 
 def _transitions(words: DataFrame) -> dict[tuple[int, int], int]:
@@ -65,8 +61,8 @@ def _transitions(words: DataFrame) -> dict[tuple[int, int], int]:
 def train(found: DataFrame, docs: DataFrame, text: str = "text") -> list[float]:
     """128 x 128 log-likelihood ratios of transitions, random over ordinary."""
     spark = found.sparkSession
-    value = f"case when x.kind = 'assign' then regexp_extract(x.m, {_sql(ASSIGN)}, 1) else x.m end"
-    real = found.select(F.explode(F.expr(f"transform(__base, x -> {value})")).alias("w"))
+    value = f"case when x.kind = 'assign' then regexp_extract(x.m, {quoted(ASSIGN)}, 1) else x.m end"
+    real = found.select(F.explode(F.expr(f"transform(base, x -> {value})")).alias("w"))
     drawn = spark.range(DRAWN).select(F.explode(F.expr("array(sha2(cast(id as string), 256), base64(unhex(sha2(cast(id as string), 256))), upper(conv(left(sha2(cast(-id as string), 256), 15), 16, 36)))")).alias("w"))
     sample = hashed_share(docs.select(text_of(text).alias("t")), F.col("t"), SAMPLE_ROWS).groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
     plain = F.regexp_replace("t", ASSIGN + "|" + PATTERNS["access"] + "|" + PATTERNS["hex"], " ")
@@ -100,34 +96,36 @@ def _ratios(random: list[dict], ordinary: list[dict]) -> list[float]:
 
 
 def decide(found: DataFrame, ratios: list[float]) -> DataFrame:
-    """``found`` with ``__spans``: base spans, and runs whose ratio is high enough."""
+    """``found`` with ``spans``: base spans, and runs whose ratio is high enough."""
     literal = "array(" + ",".join(f"{v}D" for v in ratios) + ")"
     codes = "transform(split(x.m, ''), c -> ascii(c))"
     score = f"aggregate(transform(slice({{c}}, 2, size({{c}}) - 1), (b, i) -> element_at({literal}, {{c}}[i] * 128 + b + 1)), 0D, (p, q) -> p + q)"
-    out = found.withColumn("__coded", F.expr(f"transform(__runs, x -> named_struct('x', x, 'c', {codes}))"))
-    out = out.withColumn("__scored", F.expr(f"transform(__coded, z -> named_struct('x', z.x, 'v', {score.format(c='z.c')}))"))
+    out = found.withColumn("coded", F.expr(f"transform(runs, x -> named_struct('x', x, 'c', {codes}))"))
+    out = out.withColumn("scored", F.expr(f"transform(coded, z -> named_struct('x', z.x, 'v', {score.format(c='z.c')}))"))
     good = f"z.v >= {LEAST_TOTAL}D and z.v >= {LEAST_MEAN}D * (length(z.x.m) - 1)"
-    out = out.withColumn("__spans", F.expr(f"concat(__base, transform(filter(__scored, z -> {good}), z -> z.x))"))
-    return out.drop("__coded", "__scored")
+    out = out.withColumn("spans", F.expr(f"concat(base, transform(filter(scored, z -> {good}), z -> z.x))"))
+    return out.drop("coded", "scored")
 
 
 def spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns with counts, the joined base and all spans, and the spans themselves."""
-    found = saved(candidates(docs.select(*keep, F.col(text).alias("__text")), "__text").drop("__text"))
+    """The ``keep`` columns with counts, the joined base and all spans, and the spans themselves.
+
+    Columns to keep that are named like one of these give way to it.
+    """
+    keep = without(keep, [*(f"n_{k}" for k in BASE), "base", "spans", "found"])
+    found = saved(candidates(docs, keep, text))
     out = decide(found, train(found, docs, text))
-    count = lambda k: F.expr(f"cast(size(filter(__base, x -> x.kind = '{k}')) as bigint)")
-    return out.select(*keep, *(count(k).alias(f"n_{k}") for k in BASE), joined("__base", BASE).alias("base"), joined("__spans", ORDER).alias("spans"), F.col("__spans").alias("found"))
+    count = lambda k: F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)")
+    return out.select(*unpacked(keep), *(count(k).alias(f"n_{k}") for k in BASE), joined("base", BASE).alias("base"), joined("spans", ORDER).alias("spans"), F.col("spans").alias("found"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every secret replaced by ``MARK``; null texts stay null, other columns as they are."""
-    found = saved(candidates(docs.select(F.col(text).alias("__text")), "__text").drop("__text"))
-    out = decide(candidates(docs, text), train(found, docs, text))
-    return out.withColumn(text, F.when(F.size("__spans") == 0, F.col(text)).otherwise(_cut(text))).drop("__base", "__runs", "__spans")
-
-
-def _cut(text: str) -> Column:
-    piece = f"case when x.s > a.at then substring(`{text}`, cast(a.at + 1 as int), cast(x.s - a.at as int)) else '' end"
-    step = f"case when x.e <= a.at then a else named_struct('at', x.e, 'out', concat(a.out, {piece}, case when x.s >= a.at then '{MARK}' else '' end)) end"
-    ordered = "array_sort(transform(__spans, x -> named_struct('s', x.s, 'e', x.e)))"
-    return F.expr(f"aggregate({ordered}, named_struct('at', 0L, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(`{text}`, cast(a.at + 1 as int))))")
+    """``docs`` with every secret replaced by ``MARK``; null texts stay null, other columns as they are.
+
+    The rows are written once with their candidates, so that no text is searched twice.
+    """
+    found = saved(candidates(docs, docs.columns, text))
+    ratios = train(found, found.select(F.col("row").getField(text).alias("t")), "t")
+    out = decide(found, ratios).withColumn("t", F.col("row").getField(text).cast("string"))
+    clean = F.when(F.size("spans") == 0, F.col("t")).otherwise(F.expr(masked("t", "spans", MARK)))
+    return out.select(*(clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
