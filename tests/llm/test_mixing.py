@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefold.llm import mixing
+from tracefold.llm._common import ROW, row_key
 
 
 def rows():
@@ -76,23 +77,88 @@ def test_order_is_a_permutation_by_blocks(docs, monkeypatch):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
-def test_rows_without_own_ids_are_dealt_apart(spark, monkeypatch):
-    """Blocks are told by the rows of one window: the running totals start anew in each."""
+def plain_copies(docs, weight: dict, budget: float, floor: int, seed: int = 42) -> dict:
+    """Copies of all rows of each kind, by one walk over each source in hash order."""
+    keyed = docs.select("*", *row_key(docs)).withColumn("h", F.xxhash64(F.lit(seed), *ROW)).collect()
+    kinds = defaultdict(list)
+    for r in keyed:
+        kinds[r["source"], (r["h"], r["row1"], r["row2"])].append(r)
+    blocks = -(-len(kinds) // mixing.BLOCK)
+    tokens = defaultdict(int)
+    for r in keyed:
+        tokens[r["source"]] += len((r["text"] or "").split())
+    out = {}
+    for source, n in tokens.items():
+        due = weight.get(source, 0) * budget * sum(tokens.values()) + 1e-6
+        passes = max(floor, math.floor(due / n)) if n else 1
+        rest, at = due - passes * n if n else -1, 0
+        for _, key in sorted(((k[0] % blocks, k) for s, k in kinds if s == source)):
+            rows = kinds[source, key]
+            size = len((rows[0]["text"] or "").split())
+            taken = 0
+            for _ in rows:
+                taken += at + size <= rest
+                at += size
+            out[tuple(map(str, rows[0][:-3]))] = passes * len(rows) + taken
+    return out
+
+
+def found_copies(docs, out) -> dict:
+    got = defaultdict(int)
+    names = [c for c in docs.columns if c != "text"]
+    for r in out.collect():
+        got[tuple(str(r[c]) for c in names)] += r["copies"]
+    return dict(got)
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_copies_against_a_plain_walk(docs, block, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    numbered = docs.withColumn("text", F.col("text")).withColumn("size", F.length("text"))
+    out = mixing.plan(numbered, repeats=1.4)
+    weight = {r["source"]: r["weight"] for r in out.where("n_tokens > 0").collect()}
+    want = defaultdict(int)
+    for key, n in plain_copies(numbered, weight, 1.0, 0).items():
+        want[tuple(x for c, x in zip(numbered.columns, key) if c != "text")] += n
+    assert found_copies(numbered, out) == want
+
+
+def test_null_and_repeated_ids_give_the_same_copies_anywhere(spark, docs):
+    more = docs.unionByName(docs.where("source = 'a'").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.where("source = 'b'").withColumn("doc_id", F.lit(3).cast("long")).withColumn("text", F.concat("text", F.lit("v"))))
+    seen = set()
+    for n in (1, 3, 8):
+        again = mixing.realise(more.repartition(n), repeats=1.3).groupBy(*docs.columns).count().collect()
+        seen.add(str(sorted(map(str, again))))
+    assert len(seen) == 1
+
+
+def test_no_task_holds_more_than_a_block(spark, monkeypatch):
+    """Rows without ids of their own, a third of them wholly alike."""
     monkeypatch.setattr(mixing, "BLOCK", 20)
     held, real = [], mixing.saved
 
     def seen(df):
         out = real(df)
-        if "own" in df.columns:
+        if "m" in df.columns and "h" in df.columns:
             held.append(out)
         return out
 
     monkeypatch.setattr(mixing, "saved", seen)
-    alike = spark.createDataFrame([(None if i % 2 else 7, f"w{i}", "a", 1, 2) for i in range(400)], SCHEMA)
+    alike = spark.createDataFrame([(None if i % 2 else 7, f"w{i}", "a", 1, 2) for i in range(400)] + [(None, "x", "a", 1, 2)] * 200, SCHEMA)
     out = mixing.plan(alike, repeats=2.0)
-    assert out.count() == 400 and {r["copies"] for r in out.collect()} == {1}
-    sizes = [r["own"] for r in held[0].collect()]
-    assert len(sizes) > 10 and max(sizes) <= 60
+    assert out.count() == 600 and {r["copies"] for r in out.collect()} == {1}
+    blocks = -(-401 // 20)
+    sizes = held[0].groupBy(F.pmod("h", F.lit(blocks))).count().collect()
+    assert held[0].count() == 401 and len(sizes) > 10 and max(r["count"] for r in sizes) <= 60
+
+
+def test_any_columns(spark, docs):
+    names = ["weight", "start", "passes", "rest", "b", "own", "n", "key", "h", "m", "row", "row1", "row2", "copies", "n_tokens", "place", "taken", "a.b`c"]
+    rows = docs.select("*", *(F.lit(77).alias(c) for c in names), F.create_map(F.lit("k"), F.col("doc_id")).alias("map"), F.parse_json(F.lit('{"x": 1}')).alias("any"))
+    out = mixing.plan(rows, repeats=1.4)
+    assert out.count() == docs.count() and out.where("start <> 77 or rest <> 77 or n <> 77 or `a.b``c` <> 77 or row <> 77").count() == 0
+    assert out.where("weight = 77").count() == 0
+    assert mixing.realise(rows, budget_share=None, repeats=1.0).where("weight = 77 and map is not null and any is not null").count() == docs.count()
 
 
 def test_least_budget_takes_every_row(docs):
@@ -104,12 +170,13 @@ def test_least_budget_takes_every_row(docs):
     assert most == 2 and out.where("source = 'a' and text <> ''").count() == 300
 
 
-def test_least_budget_short_by_rounding(docs, monkeypatch):
+def test_least_budget_short_by_rounding(spark):
     """At many tokens the due of the largest source can fall short of its tokens by rounding."""
-    least = mixing._least_budget
-    monkeypatch.setattr(mixing, "_least_budget", lambda *a: (least(*a)[0] * (1 - 1e-6), least(*a)[1]))
-    out = mixing.plan(docs, budget_share=None, repeats=2.0)
-    assert out.count() == docs.count() and out.where("copies < 1").count() == 0
+    for size in (10**11, 10**12 + 7, 3 * 10**13 + 1):
+        big = [(i, f"={i % 7}", size // (i % 7 + 3) + i, i, -i) for i in range(70)]
+        rows = spark.createDataFrame(big, "id int, key string, n long, row1 long, row2 long").withColumn("row", F.struct("id"))
+        out = mixing._placed(rows, budget_share=None, repeats=1.5)
+        assert out.count() == 70 and out.where("passes < 1").count() == 0
 
 
 def test_edges(spark, docs):

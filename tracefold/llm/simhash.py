@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._buckets import compare, forest
-from ._common import ROW, components, pick, saved, text_of, with_row_key
+from ._common import ROW, components, packed, pick, row_key, saved, text_of, unpacked
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 TRIPLES = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
@@ -65,9 +65,10 @@ def _links(members: pd.DataFrame, side: np.ndarray | None) -> pd.DataFrame | Non
     differ = fp[:, None] ^ fp[None, :]
     tally = (differ.view(np.uint8).reshape(len(fp), len(fp), 8) == 0).sum(axis=2, dtype=np.uint8)
     linked = tally >= 8 - MAX_BITS
-    linked &= np.bitwise_count(differ) <= MAX_BITS
     if side is not None:
         linked &= side[:, None] != side[None, :]
+    kept = np.nonzero(linked)
+    linked[kept] = np.bitwise_count(differ[kept]) <= MAX_BITS
     a, b = forest(linked, ids)
     return pd.DataFrame({"a": a, "b": b}) if len(a) else None
 
@@ -93,11 +94,11 @@ def classes(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` of each class: the smallest id, and of rows that share it one."""
-    keyed = with_row_key(docs)
-    base = saved(fingerprints(keyed.select(*ROW, F.col(ident).alias("ident"), F.col(text).alias("text"))).select(*ROW, "ident", "fp"))
+    key = row_key(docs)
+    base = saved(fingerprints(docs.select(*key, F.col(ident).alias("ident"), F.col(text).alias("text"))).select(*ROW, "ident", "fp"))
     best = F.min(F.struct(F.col("ident").isNull().alias("void"), "ident", *ROW))
     nodes = saved(base.groupBy(F.col("fp").alias("node")).agg(best.alias("best")))
     roots = saved(components(near_links(nodes)))
     placed = nodes.join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
     kept = saved(placed.groupBy("root").agg(F.min("best").alias("best")).select(*(F.col(f"best.{c}").alias(c) for c in ROW)))
-    return pick(keyed, kept).select(*docs.columns)
+    return pick(docs.select(packed(docs.columns), *key), kept).select(*unpacked(docs.columns))
