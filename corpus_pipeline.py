@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import bpe, mixing, quality, secrets, simhash
-from tracefold.llm._common import saved, table
+from tracefold.llm._common import fresh, saved, table
 
 #: No source is passed over more than this often, each at least once.
 REPEATS = 2.0
@@ -22,7 +22,8 @@ ORACLE_SQL = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field, trained on the labels of this input, doesn't reject."""
     field = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, field, into="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    into = fresh(docs, "score")
+    return quality.score(docs, field, into=into).where(F.col(into) >= quality.THRESHOLD).drop(into)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced; ``n_chars`` follows the text."""
-    out = secrets.redact(docs.withColumn("__before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("__before"))
+    before = fresh(docs, "before")
+    out = secrets.redact(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
