@@ -11,6 +11,7 @@ the neutral score 0.5. Repeated rows are scanned each on its own. Whole texts ar
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -41,10 +42,50 @@ NOTICES = {
     "creative commons zero": "cc0-1.0",
     "public domain dedication": "cc0-1.0",
     "released into the public domain": "cc0-1.0",
+    "gnu gpl": "gpl",
+    "gnu lgpl": "lgpl",
+    "gnu agpl": "agpl",
+    "gnu library general public license": "lgpl",
+    "free documentation license": "gfdl",
+    "gnu fdl": "gfdl",
+    "licensed under the apache license version 2 0": "apache-2.0",
+    "subject to the terms of the mozilla public license": "mpl-2.0",
+    "common development and distribution license": "cddl",
+    "common public license": "cpl",
+    "european union public licence": "eupl",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "academic free license": "afl",
+    "open software license": "osl",
+    "microsoft public license": "ms-pl",
+    "zlib license": "zlib",
+    "the unlicense": "unlicense",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "universal permissive license": "upl",
+    "blue oak model license": "blueoak",
+    "open data commons attribution": "odc-by",
+    "open database license": "odbl",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "cc by sa": "cc-by-sa",
+    "cc by nc": "cc-by-nc",
+    "cc by nd": "cc-by-nd",
+    "cc0 1 0": "cc0-1.0",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
+    "no part of this publication may be reproduced": "reserved",
+    "reproduction without permission is prohibited": "reserved",
+    "proprietary and confidential": "proprietary",
 }
 TAG = "spdx license identifier"
 #: How freely a text under each family may be reused, 0 to 1.
-FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "cc0": 1.0, "unlicense": 1.0, "zlib": 1.0, "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "reserved": 0.0}
+FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "cc0": 1.0, "unlicense": 1.0, "zlib": 1.0, "cc-by": 0.9, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "reserved": 0.0, "proprietary": 0.0} | {
+    "cc-by-sa": 0.6, "cc-by-nc": 0.3, "cc-by-nd": 0.2, "odc-by": 0.9, "odbl": 0.6, "gfdl": 0.5, "psf": 1.0, "artistic": 0.9, "upl": 1.0, "blueoak": 1.0, "ms-pl": 0.9, "afl": 0.9,
+    "eupl": 0.5, "cddl": 0.7, "cpl": 0.7, "osl": 0.4, "sspl": 0.2, "busl": 0.1,
+}
 NEUTRAL, EXCEPTION = 0.5, 0.3
 _TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:?[ \t]*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
@@ -59,8 +100,12 @@ SCHEMA = StructType(
 )
 
 
+_FAMILIES = sorted(FREEDOM, key=len, reverse=True)
+
+
+@functools.lru_cache(4096)
 def freedom(label: str) -> float:
-    for family in sorted(FREEDOM, key=len, reverse=True):
+    for family in _FAMILIES:
         if label == family or label.startswith(family + "-"):
             return FREEDOM[family]
     return NEUTRAL
@@ -104,8 +149,9 @@ def postfix(expression: str) -> list[str]:
 
 def leading(line: str) -> str:
     """The longest well-formed expression at the start of ``line``, up to a sentence's end; empty if there is none."""
-    best, parts, depth, operand = "", [], 0, False
-    for token in _TOKEN.findall(line):
+    parts, whole, depth, operand = [], 0, 0, False
+    for found in _TOKEN.finditer(line):
+        token = found[0]
         name, rank = token.rstrip(".:-"), token.lower() in _RANK
         if rank or token == ")":
             if not operand or (token == ")" and not depth):
@@ -116,10 +162,10 @@ def leading(line: str) -> str:
         depth += (token == "(") - (token == ")")
         operand = not rank and token != "("
         if operand and not depth:
-            best = " ".join(parts)
+            whole = len(parts)
         if "." in token[len(name) :]:
             break
-    return best
+    return " ".join(parts[:whole])
 
 
 def evaluate(expression: str) -> tuple[float, list[str]]:
@@ -152,9 +198,11 @@ class Scanner:
         flat = " " + b" ".join(words).decode() + " "
         first = last = None
         n_base, base, labels, tagged = 0, set(), set(), False
+        done = passed = 0  # words that end before the place reached; matches come by their ends
         for end, phrase in self.auto.iter(flat):
             if phrase in BASE:
-                at = flat.count(" ", 0, end - len(phrase) - 1)
+                passed, done = passed + flat.count(" ", done, end), end
+                at = passed - 1 - phrase.count(" ")
                 n_base += 1
                 first, last = (at, at) if first is None else (min(first, at), max(last, at))
                 base.add(BASE[phrase])
