@@ -1,178 +1,231 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
-Both models are word bigrams over one vocabulary (words that make up at least
-``WORD_SHARE`` of either corpus; all others are one unknown word), smoothed alike: a
-bigram's probability leans on the unigram with the weight of ``LEAN`` observations. The
-counts run over every document and every target text. Of the bigrams, those that make up
-at least ``PAIR_SHARE`` of either corpus enter the models and all others back off, so the
-models hold at most 2 / WORD_SHARE words and 2 / PAIR_SHARE pairs at any input size;
-that bound is what allows them to be broadcast.
-
-A document's score is the mean of its per-token differences, loss under the target less
-loss under the background: the lower, the closer to the target. Words are runs of
-non-space after lower-casing A-Z.
-
-Null texts are empty; a document without words has 0 tokens and zero losses. Rows are
-scored one by one, repeated rows alike. An empty target leaves its model uniform; an empty
-table gives no rows.
+Both models are word bigrams over one vocabulary, the words of both corpora and one unknown,
+smoothed alike: a pair's probability leans on the single word with the weight of ``LEAN``
+observations. Every word and every pair of either corpus counts, so what is gathered grows
+with the input. A document's score is the mean of its per-token differences, loss under the
+target less loss under the background: the lower, the closer to the target. Words are runs
+of non-space after lower-casing A-Z.
+
+Texts are split once into chunks of about ``CHUNK`` tokens. A chunk counts its own words,
+first words of pairs and pairs, and sends each with its count, once, to the bucket that its
+hash falls into; a bucket of hashes adds up the counts of all chunks and answers each chunk
+with the sums for its keys, in their order. So the most common pair is one entry a chunk, a
+bucket holds about ``ENTRIES`` entries at any input size, and the driver sees three sums.
+
+Keys are 94 bits of hash and two of kind; at 1e12 different pairs, any two of them share a
+key with a chance of about 3e-5.
+
+Null texts are empty; a document without words has 0 tokens and zero losses. Rows are scored
+one by one, repeated rows and repeated ids alike. An empty target leaves its model uniform;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ._common import saved, text_of
 
-WORD_SHARE, PAIR_SHARE, LEAN = 1e-5, 5e-6, 16.0
-_FLUSH, _HELD = 150_000, 1_000_000
+CHUNK, ENTRIES, LEAN = 1_000_000, 1_000_000, 16.0
+_WORD, _FIRST, _PAIR = 1, 2, 3
+_SENT = "bucket int, chunk long, side int, a binary, b binary, n binary"
+_SUMS = "chunk long, bucket int, n0 binary, n1 binary, words long"
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def _flagged(docs: DataFrame, target: DataFrame, text: str) -> DataFrame:
-    return docs.select(text_of(text).alias("t"), F.lit(0).alias("side")).unionByName(target.select(text_of(text).alias("t"), F.lit(1).alias("side")))
-
-
-def _word_counts(both: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = (Counter(), Counter())
-
-        def flush() -> pd.DataFrame:
-            rows = [(w, s, n) for s in (0, 1) for w, n in held[s].items()]
-            for h in held:
-                h.clear()
-            return pd.DataFrame(rows, columns=["word", "side", "n"])
-
+def pack(values: np.ndarray) -> bytes:
+    """Compressed bytes, equal places of all values together: high bytes are mostly zero."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits in which every bit of the input moves all others."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sorted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    return np.lexsort((b, a)) if ((x[1:] == x[:-1]) & (y[1:] < y[:-1])).any() else order
+
+
+class Chunk:
+    """Word and predecessor of each token of some texts, and the keys of what they hold."""
+
+    def __init__(self, row: dict):
+        self.ids = unpack(row["ids"], np.int32).astype(np.int64)
+        self.lengths = unpack(row["lengths"], np.int32).astype(np.int64)
+        h = np.frombuffer(row["hashes"], dtype=np.uint64).reshape(-1, 2)
+        self.size = size = len(h)  # words, with the start of a text as number 0
+        self.before = np.zeros_like(self.ids)
+        self.before[1:] = self.ids[:-1]
+        some = self.lengths > 0
+        self.before[np.cumsum(self.lengths)[some] - self.lengths[some]] = 0
+        self.pairs, self.which, seen = np.unique(self.before * size + self.ids, return_inverse=True, return_counts=True)
+        first = np.bincount(self.before, minlength=size)
+        self.firsts = np.flatnonzero(first)
+        p, w = self.pairs // size, self.pairs % size
+        one, two = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+        a = [_mixed(h[1:, 0] + one), _mixed(h[self.firsts, 0] + two), _mixed(_mixed(h[p, 0]) + h[w, 0])]
+        b = [_mixed(h[1:, 1] + one), _mixed(h[self.firsts, 1] + two), _mixed(_mixed(h[p, 1]) + h[w, 1])]
+        kinds = np.repeat(np.array([_WORD, _FIRST, _PAIR], dtype=np.uint32), [len(x) for x in a])
+        self.a = np.concatenate(a)
+        self.b = (np.concatenate(b) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFC) | kinds
+        self.n = np.concatenate([np.bincount(self.ids, minlength=size)[1:], first[self.firsts], seen]).astype(np.int64)
+        self.order = _sorted(self.a, self.b)
+
+    def losses(self, n: tuple, total: int, words: int) -> np.ndarray:
+        """Mean loss of each text under one side, from the sums of all keys in sorted order."""
+        full = np.empty(len(self.a))
+        full[self.order] = n
+        single = np.append(0.0, full[: self.size - 1])
+        first = np.zeros(self.size)
+        first[self.firsts] = full[self.size - 1 : self.size - 1 + len(self.firsts)]
+        pair = full[self.size - 1 + len(self.firsts) :]
+        lean = LEAN * (single[self.pairs % self.size] + 0.5) / (total + 0.5 * (words + 1))
+        loss = -np.log((pair + lean) / (first[self.pairs // self.size] + LEAN))
+        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        return np.bincount(text, loss[self.which], minlength=len(self.lengths)) / np.maximum(self.lengths, 1)
+
+
+def _row(rows: list, side: int, chunk: int, types: list[pa.DataType]) -> pa.RecordBatch:
+    split = [r[-1] for r in rows]
+    index = {b"": 0}
+    ids = np.fromiter((index.setdefault(w, len(index)) for w in chain.from_iterable(split)), dtype=np.int32)
+    hashes = b"".join(blake2b(w, digest_size=16).digest() for w in index)
+    columns = [pa.array([chunk]), pa.array([side], pa.int32()), pa.array([len(ids)], pa.int64())]
+    columns += [pa.array([[r[i] for r in rows]], pa.list_(t)) for i, t in enumerate(types)]
+    lengths = np.array([len(w) for w in split], dtype=np.int32)
+    columns += [pa.array([x], pa.binary()) for x in (pack(ids), pack(lengths), hashes)]
+    return pa.RecordBatch.from_arrays(columns, names=["chunk", "side", "tokens", *(f"k{i}" for i in range(len(types))), "ids", "lengths", "hashes"])
+
+
+def _chunks(df: DataFrame, keys: list[str], text: str, side: int, like: StructType) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, held, size, types = (side << 62) + (TaskContext.get().partitionId() << 28), [], 0, []
         for batch in batches:
-            for t, s in zip(batch["t"], batch["side"]):
-                held[s].update(words_of(t))
-                if len(held[s]) > _FLUSH:
-                    yield flush()
-        yield flush()
-
-    parts = both.mapInPandas(run, "word binary, side int, n long")
-    amount = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0))
-    return parts.groupBy("word").agg(amount(0).alias("n0"), amount(1).alias("n1"))
-
+            types = [f.type for f in batch.schema][:-1]
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                for row in zip(*(c.to_pylist() for c in piece.columns)):
+                    held.append((*row[:-1], words_of(row[-1])))
+                    size += len(held[-1][-1])
+                    if size >= CHUNK:
+                        yield _row(held, side, chunk, types)
+                        chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield _row(held, side, chunk, types)
 
-def _slices(texts: pd.Series) -> Iterator[pd.Series]:
-    """Few texts at a time: the words of a whole Arrow batch would fill a worker."""
-    for at in range(0, len(texts), 256):
-        yield texts.iloc[at : at + 256]
+    return df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), text_of(text).alias("t")).mapInArrow(run, like)
 
 
-def _codes(texts, index: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes prev * size + word of all tokens of ``texts``, the words, and tokens a text."""
-    split = [words_of(t) for t in texts]
-    lengths = np.array([len(w) for w in split], dtype=np.int64)
-    ids = np.fromiter(map(index.get, chain.from_iterable(split), repeat(0)), dtype=np.int64, count=int(lengths.sum()))
-    size = len(index) + 2
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]] = size - 1
-    return before * size + ids, ids, lengths
+def _send(buckets: int):
+    """One row for each chunk and bucket: sorted keys of the bucket with the chunk's counts."""
 
-
-def _pair_counts(both: DataFrame, shared) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list] = [[], []]
-
-        def merged(side: int) -> tuple[np.ndarray, np.ndarray]:
-            codes, at = np.unique(np.concatenate([c for c, _ in held[side]]), return_inverse=True)
-            return codes, np.bincount(at, np.concatenate([n for _, n in held[side]])).astype(np.int64)
-
-        def frame(side: int, codes: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-            return pd.DataFrame({"code": codes, "side": side, "n": n})
-
-        for batch in batches:
-            for side in (0, 1):
-                texts = batch["t"][batch["side"] == side]
-                for part in _slices(texts):
-                    held[side].append(np.unique(_codes(part, shared.value)[0], return_counts=True))
-                    if sum(len(c) for c, _ in held[side]) > 2 * _HELD:
-                        codes, n = merged(side)
-                        held[side] = [(codes, n)]
-                        if len(codes) > _HELD:
-                            yield frame(side, codes, n)
-                            held[side] = []
-        for side in (0, 1):
-            if held[side]:
-                yield frame(side, *merged(side))
-
-    parts = both.mapInPandas(run, "code long, side int, n long")
-    amount = lambda s: F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0))
-    return parts.groupBy("code").agg(amount(0).alias("n0"), amount(1).alias("n1"))
-
-
-class Model:
-    """Log-probabilities of one side: kept pairs, and what the others back off to."""
-
-    def __init__(self, singles: np.ndarray, total: int, codes: np.ndarray, counts: np.ndarray):
-        size = len(singles) + 1  # words with the unknown one first, then the start
-        p = (singles + 0.5) / (total + 0.5 * len(singles))
-        self.single = np.append(np.log(p), 0.0)
-        before, word = codes // size, codes % size
-        context = np.bincount(before, counts, minlength=size)
-        self.back = np.log(LEAN / (context + LEAN))
-        self.pair = np.log((counts + LEAN * p[word]) / (context[before] + LEAN))
-
-
-class Scorer:
-    def __init__(self, index: dict[bytes, int], codes: np.ndarray, target: Model, background: Model):
-        self.index, self.codes, self.models = index, codes, (target, background)
-
-    def losses(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, and mean loss under the target and under the background, of each text."""
-        code, ids, lengths = _codes(texts, self.index)
-        before = code // (len(self.index) + 2)
-        at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-        known = self.codes[at] == code if len(self.codes) else np.zeros(len(code), dtype=bool)
-        means = []
-        for m in self.models:
-            loss = -(m.back[before] + m.single[ids])
-            loss[known] = -m.pair[at[known]]
-            ends = np.cumsum(lengths)
-            means.append(np.array([loss[e - n : e].sum() / n if n else 0.0 for e, n in zip(ends, lengths)]))
-        return lengths, means[0], means[1]
-
-
-def train(docs: DataFrame, target: DataFrame, text: str = "text") -> Scorer:
-    """Count words and pairs of both corpora over the cluster; bring only the bounded models here."""
-    both = _flagged(docs, target, text)
-    counts = saved(_word_counts(both))
-    n0, n1 = counts.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
-    often = lambda share: (F.col("n0") >= share * max(n0, 1)) | (F.col("n1") >= share * max(n1, 1))
-    kept = counts.where(often(WORD_SHARE)).toArrow().sort_by("word")
-    index = {w: i + 1 for i, w in enumerate(kept["word"].to_pylist())}
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    pairs = _pair_counts(both, shared).where(often(PAIR_SHARE)).toArrow().sort_by("code")
-    codes = pairs["code"].to_numpy()
-    models = []
-    for side, total in (("n1", n1), ("n0", n0)):
-        own = kept[side].to_numpy().astype(float)
-        singles = np.insert(own, 0, total - own.sum())
-        models.append(Model(singles, total, codes, pairs[side].to_numpy().astype(float)))
-    return Scorer(index, codes, *models)
-
-
-def score(docs: DataFrame, scorer: Scorer, text: str = "text", into: str = "lm") -> DataFrame:
-    """``docs`` with tokens, both losses and their difference; no shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    @F.pandas_udf("n_tokens long, target_loss double, background_loss double, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.value.losses(part) for part in _slices(batch)] or [model.value.losses([])]
-            n, t, b = (np.concatenate(x) for x in zip(*found))
-            yield pd.DataFrame({"n_tokens": n, "target_loss": t, "background_loss": b, "score": t - b})
-
-    return docs.withColumn(into, run(text_of(text)))
+            for row in batch.to_pylist():
+                c = Chunk(row)
+                a, b, n = (x[c.order] for x in (c.a, c.b, c.n))
+                at = (a >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                cuts = np.flatnonzero(np.diff(at, prepend=np.uint64(buckets)))
+                for some in np.array_split(cuts, max(1, len(cuts) // 64)):
+                    out = []
+                    for s in some.tolist():
+                        e = s + int(np.searchsorted(at[s:], at[s], side="right"))
+                        out.append((int(at[s]), pack(np.diff(a[s:e], prepend=np.uint64(0))), b[s:e].tobytes(), pack(n[s:e])))
+                    if out:
+                        where, keys, tails, counts = zip(*out)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(where, pa.int32()), pa.array([row["chunk"]] * len(out)), pa.array([row["side"]] * len(out), pa.int32()), *(pa.array(x, pa.binary()) for x in (keys, tails, counts))],
+                            names=["bucket", "chunk", "side", "a", "b", "n"],
+                        )
+
+    return run
+
+
+def _add(rows: pa.Table) -> pa.Table:
+    """The sums over all chunks for the keys of each, in its order; a row of chunk -1 counts the bucket's words."""
+    found = rows.to_pylist()
+    a = [np.cumsum(unpack(r["a"], np.uint64), dtype=np.uint64) for r in found]
+    sizes = [len(x) for x in a]
+    a, b = np.concatenate(a), np.concatenate([np.frombuffer(r["b"], dtype=np.uint32) for r in found])
+    order = _sorted(a, b)
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    n = np.concatenate([unpack(r["n"], np.int64) for r in found])
+    side = np.repeat([r["side"] for r in found], sizes)
+    group = np.empty(len(a), dtype=np.int64)
+    group[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(a)))
+    sums = [np.add.reduceat(np.where(side == s, n, 0)[order], starts)[group] for s in (0, 1)]
+    ends = np.cumsum(sizes)
+    own = [(r["chunk"], slice(e - k, e)) for r, e, k in zip(found, ends, sizes) if r["side"] == 0]
+    words = int((b[starts] & np.uint32(3) == _WORD).sum())
+    blank = b""
+    return pa.table(
+        {
+            "chunk": pa.array([-1, *(c for c, _ in own)], pa.int64()),
+            "bucket": pa.array([found[0]["bucket"]] * (len(own) + 1), pa.int32()),
+            **{f"n{s}": pa.array([blank, *(pack(sums[s][at]) for _, at in own)], pa.binary()) for s in (0, 1)},
+            "words": pa.array([words] + [0] * len(own), pa.int64()),
+        }
+    )
+
+
+def score(docs: DataFrame, target: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys`` of every row of ``docs`` with tokens, both losses and their difference."""
+    kinds = [docs.schema[k].dataType for k in keys]
+    like = StructType().add("chunk", "long").add("side", "integer").add("tokens", "long")
+    result = StructType()
+    for i, (k, t) in enumerate(zip(keys, kinds)):
+        like, result = like.add(f"k{i}", ArrayType(t)), result.add(k, t)
+    like = like.add("ids", "binary").add("lengths", "binary").add("hashes", "binary")
+    for c, t in (("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("score", "double")):
+        result = result.add(c, t)
+    same = target.select(*(F.lit(None).cast(t).alias(k) for k, t in zip(keys, kinds)), F.col(text))
+    store = saved(_chunks(docs, keys, text, 0, like).unionByName(_chunks(same, keys, text, 1, like)))
+    totals = {r["side"]: r["n"] for r in store.groupBy("side").agg(F.sum("tokens").alias("n")).collect()}
+    n = [totals.get(s, 0) for s in (0, 1)]
+
+    sent = store.select("chunk", "side", "ids", "lengths", "hashes").mapInArrow(_send(max(1, -(-sum(n) // ENTRIES))), _SENT)
+    sums = saved(sent.groupBy("bucket").applyInArrow(_add, _SUMS))
+    n_words = sums.agg(F.sum("words")).first()[0] or 0
+
+    def losses(found: pa.Table, rows: pa.Table) -> pa.Table:
+        means = [[], []]
+        for row in rows.to_pylist():
+            c = Chunk(row)
+            parts = sorted(found.to_pylist(), key=lambda r: r["bucket"])
+            for s in (1, 0):
+                values = np.concatenate([np.empty(0, dtype=np.int64), *(unpack(r[f"n{s}"], np.int64) for r in parts)])
+                means[s].append(c.losses(values, n[s], n_words))
+        columns = [rows[f"k{i}"].combine_chunks().flatten() for i in range(len(keys))]
+        lengths = np.concatenate([unpack(x, np.int32) for x in rows["lengths"].to_pylist()]).astype(np.int64)
+        t, b = (np.concatenate(means[s]) for s in (1, 0))
+        return pa.table([*columns, *map(pa.array, (lengths, t, b, t - b))], names=result.names)
+
+    own = store.where("side = 0").select("chunk", *(f"k{i}" for i in range(len(keys))), "ids", "lengths", "hashes")
+    return sums.where("chunk >= 0").select("chunk", "bucket", "n0", "n1").groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(losses, result)

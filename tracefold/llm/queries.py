@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, licences, lm_score, lm_whole, mixing, pii, quality, secrets, simhash, topk
+from . import bpe, embed_dedup, licences, lm_score, mixing, pii, quality, secrets, simhash, topk
 from ._common import table
 
 #: No source is passed over more than this often within a budget of all tokens.
@@ -58,15 +58,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much closer each document is to the benchmark passages than to the whole corpus."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scorer = lm_score.train(docs, table(spark, sf_dir, "benchmark"))
-    scored = lm_score.score(docs, scorer).select("doc_id", "lm.*")
-    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
-
-
-def op8_lm_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op8_lm_score, by models of every word and pair."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = lm_whole.score(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
+    scored = lm_score.score(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
     return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
@@ -88,7 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embed_dedup": op6_embed_dedup,
     "op7_simhash": op7_simhash,
     "op8_lm_score": op8_lm_score,
-    "op8_lm_score_whole": op8_lm_score_whole,
     "op9_mixing": op9_mixing,
     "op10_secrets": op10_secrets,
 }
@@ -99,37 +90,19 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 def _lm_side(side: int) -> str:
     """Loss of a token under one model, from the tables of op8_lm_score's SQL."""
-    single = f"((case when d.w = '' then t.n{side} - (select sum(n{side}) from v) else x.n{side} end) + 0.5) / (t.n{side} + 0.5 * (select count(*) + 1 from v))"
-    return f"-ln((coalesce(k.n{side}, 0) + {lm_score.LEAN} * ({single})) / (coalesce(c.n{side}, 0) + {lm_score.LEAN}))"
-
-
-def _whole_side(side: int) -> str:
     return f"-ln((k.n{side} + {lm_score.LEAN} * ((u.n{side} + 0.5) / (t.n{side} + 0.5 * ((select count(*) from u) + 1)))) / (c.n{side} + {lm_score.LEAN}))"
 
 
 ORACLES: dict[str, str] = {
-    "op8_lm_score_whole": f"""with a as (select 0 as side, row_number() over () as row, doc_id, {_WORDS} as ws from documents union all select 1, row_number() over (), null, {_WORDS} from benchmark),
+    "op8_lm_score": f"""with a as (select 0 as side, row_number() over () as row, doc_id, {_WORDS} as ws from documents union all select 1, row_number() over (), null, {_WORDS} from benchmark),
         e as (select side, row, unnest(ws) as w, generate_subscripts(ws, 1) as i from a), d as (select *, coalesce(lag(w) over (partition by side, row order by i), '') as p from e),
         t as (select count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1 from d),
         u as (select w, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1 from d group by w),
         c as (select p, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1 from d group by p),
         k as (select p, w, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1 from d group by p, w),
-        l as (select row, {_whole_side(1)} as target, {_whole_side(0)} as background from d cross join t join u on u.w = d.w join c on c.p = d.p join k on k.p = d.p and k.w = d.w where side = 0),
+        l as (select row, {_lm_side(1)} as target, {_lm_side(0)} as background from d cross join t join u on u.w = d.w join c on c.p = d.p join k on k.p = d.p and k.w = d.w where side = 0),
         m as (select row, count(*) as n, avg(target) as target, avg(background) as background from l group by row)
         select doc_id, coalesce(n, 0) as n_tokens, coalesce(round(target, 6), 0) as target_loss, coalesce(round(background, 6), 0) as background_loss, coalesce(round(target - background, 6), 0) as score from a left join m using (row) where side = 0""",
-    "op8_lm_score": f"""with a as (select doc_id, {_WORDS} as ws from documents), b as (select {_WORDS} as ws from benchmark),
-        dw as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from a), bw as (select row_number() over () as doc_id, ws from b), tw as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from bw),
-        t as (select (select count(*) from dw) as n0, (select count(*) from tw) as n1),
-        u as (select word, sum(n0) as n0, sum(n1) as n1 from (select word, count(*) as n0, 0 as n1 from dw group by word union all select word, 0, count(*) from tw group by word) group by word),
-        v as (select u.* from u, t where u.n0 >= {lm_score.WORD_SHARE} * greatest(t.n0, 1) or u.n1 >= {lm_score.WORD_SHARE} * greatest(t.n1, 1)),
-        dn as (select doc_id, i, coalesce(v.word, '') as w from dw left join v using (word)), tn as (select doc_id, i, coalesce(v.word, '') as w from tw left join v using (word)),
-        dp as (select doc_id, w, coalesce(lag(w) over (partition by doc_id order by i), ' ') as p from dn), tp as (select w, coalesce(lag(w) over (partition by doc_id order by i), ' ') as p from tn),
-        q as (select p, w, sum(n0) as n0, sum(n1) as n1 from (select p, w, count(*) as n0, 0 as n1 from dp group by p, w union all select p, w, 0, count(*) from tp group by p, w) group by p, w),
-        k as (select q.* from q, t where q.n0 >= {lm_score.PAIR_SHARE} * greatest(t.n0, 1) or q.n1 >= {lm_score.PAIR_SHARE} * greatest(t.n1, 1)),
-        c as (select p, sum(n0) as n0, sum(n1) as n1 from k group by p),
-        l as (select d.doc_id, {_lm_side(1)} as target, {_lm_side(0)} as background from dp d cross join t left join v x on x.word = d.w left join k on k.p = d.p and k.w = d.w left join c on c.p = d.p),
-        m as (select doc_id, count(*) as n, avg(target) as target, avg(background) as background from l group by doc_id)
-        select doc_id, coalesce(n, 0) as n_tokens, coalesce(round(target, 6), 0) as target_loss, coalesce(round(background, 6), 0) as background_loss, coalesce(round(target - background, 6), 0) as score from documents left join m using (doc_id)""",
     "op5_topk": f"""with q as (select vec_id, list_transform(v, lambda x: floor(256 * x)) as v from (select vec_id, {_FINITE})),
         s as (select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.v, b.v) as bigint) as score from q a join q b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s) select query_id, rank, vec_id, score from r where rank <= 5""",
