@@ -117,3 +117,45 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r["node"]: r["root"] for r in _common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 0 for i in range(40)) and got[201] == 200
     assert _common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_top_k_beyond_64_bits(spark):
+    frame = spark.createDataFrame([(0, [1e15, 1.0]), (1, [-1e15, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk.top_k(frame, F.col("ident") == 0)
+
+
+def test_top_k_queries_in_stretches_of_length(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SLAB", 16)
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "STRETCHES", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * 10.0 ** (i % 4)]) for i in range(150)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.top_k(frame, F.col("ident") % 5 == 0).collect()
+    want = brute.top([r[0] for r in rows], [r[1] for r in rows], 5, 5)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1.01e200]), (2, [1e-200, 1.01e-200]), (3, [5e-324, 0.0]), (4, [1e308, 0.0]), (5, [0.0, 1e-300])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["ident"]: (r["n_links"], r["component"]) for r in embed_dedup.classes(frame).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_keep_one_of_rows_with_any_columns(spark):
+    docs = spark.createDataFrame([(2, "a b c d"), (1, "a b c d"), (None, "x y z"), (3, "x y z"), (3, "x y z")], "doc_id long, text string")
+    docs = docs.select("*", *(F.lit(77).alias(c) for c in ("row", "row1", "row2", "fp", "ident", "best", "a.b`c")), F.create_map(F.lit("k"), F.col("doc_id")).alias("map"), F.parse_json(F.lit("[1]")).alias("any"))
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["row"], r["a.b`c"], r["map"]["k"]) for r in out.collect()) == [(1, 77, 77, 1), (3, 77, 77, 3)]
+
+
+def test_no_scratch_folder_off_one_machine(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "spark://x:7077", "getConf": staticmethod(lambda: Cluster.conf)})
+
+    with pytest.raises(RuntimeError):
+        _common.scratch_dir(Cluster)

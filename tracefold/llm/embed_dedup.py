@@ -8,7 +8,8 @@ probability 0.84, a table with 0.25, one table of 20 with 0.997, closer pairs mo
 
 Equal vectors are folded into a class before hashing and count as links of one another.
 A pair that shares several buckets counts in the first table only. Buckets of any size
-are compared whole, in blocks.
+are compared whole, in blocks. Vectors are scaled by a power of two first, so very large and
+very small components neither overflow nor vanish.
 
 A row whose label is null or whose vector is null, zero or holds null or non-finite
 components has no links and is its own component. Vectors of different length are never
@@ -69,6 +70,8 @@ def _links(members: pd.DataFrame, side: np.ndarray | None) -> pd.DataFrame | Non
     x = np.zeros((len(ids), sizes.max()))
     for i, v in enumerate(members["vec"]):
         x[i, : len(v)] = v
+    # a power of two leaves all digits as they are, and keeps squares within range
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     norm = np.sqrt((x * x).sum(axis=1))
     with np.errstate(all="ignore"):
         linked = (x @ x.T) / np.outer(norm, norm) >= LEAST

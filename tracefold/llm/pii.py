@@ -50,8 +50,20 @@ LABELERS = ["shape", "gazetteer", "context", "border"]
 FIELDS = ["kind", "size", *LABELERS, "kind+shape", "shape+context"]
 LEAST = 0.9
 #: Gazetteers.
-DOMAINS = "com org net edu gov io de fr es uk info eu ch at it nl be us ca".split()
-NAMES = "james mary john anna robert linda michael maria david laura peter paul marie jean pierre hans klaus carlos jose ana".split()
+DOMAINS = (
+    "com org net edu gov mil int info biz name pro mobi asia io co ai app dev me tv cc xyz online site shop blog cloud tech"
+    " de fr es uk eu ch at it nl be us ca mx br ar cl pe ve uy au nz za ng ke eg ma tn in pk bd lk cn hk tw jp kr sg my th vn id ph"
+    " ru ua by kz pl cz sk hu ro bg gr tr il ae sa ir se no dk fi is ie pt lu li mt cy ee lv lt si hr rs ba mk al"
+).split()
+NAMES = (
+    "james mary john anna robert linda michael maria david laura peter paul marie jean pierre hans klaus carlos jose ana"
+    " william elizabeth richard susan thomas jessica charles sarah joseph karen christopher nancy daniel lisa matthew margaret anthony betty mark sandra"
+    " steven emily andrew kimberly joshua donna kevin michelle brian carol george amanda edward melissa jason deborah ryan stephanie jacob rebecca"
+    " alice emma olivia sophia lucas oliver henry samuel benjamin alexander max felix leon jonas lukas stefan andreas wolfgang juergen ursula"
+    " monika petra sabine claudia julia lena louis jacques michel nicolas philippe claire camille sophie isabelle nathalie francois luis juan antonio"
+    " manuel francisco miguel pedro javier carmen isabel lucia elena sofia pablo diego giovanni marco giulia francesca olga ivan natalia dmitri"
+    " mohammed ahmed ali fatima omar hassan wei li ming yuki hiroshi kenji priya raj anil sunita"
+).split()
 CUES = {
     "email": "e-?mail|contact|write to|courriel|correo|kontakt",
     "ip": r"\bip\b|host|server|address|adresse",

@@ -1,9 +1,10 @@
 """Exact top-k inner products of integer vectors for a stated set of queries.
 
 Vectors are put into bands by descending length and slabs of about ``SLAB`` within a
-band. The first slab gives every query a lower bound for its k-th score. A block of
-queries then meets only the slabs whose greatest length could still reach the lowest
-bound of the block. Within a slab, vectors go by descending length; in axes rotated by
+band. The first slab gives every query a lower bound for its k-th score. Queries go into
+blocks of about ``BLOCK`` by length, so that those of a block have like bounds, and a block
+then meets only the slabs whose greatest length could still reach its lowest bound. A slab
+is sent once a block that it meets. Within a slab, vectors go by descending length; in axes rotated by
 the singular vectors of a bounded sample, the leading ``LEAD`` coordinates give a partial
 sum and Cauchy-Schwarz bounds the rest, so only pairs that may still enter the list are
 scored, with exact integers.
@@ -13,8 +14,9 @@ The rotation only orders the work; it is fitted on about ``SAMPLE_ROWS`` rows of
 Vectors that are null or hold null or non-finite components take no part; an empty vector
 has score 0 with empty vectors; vectors of different length are never compared. Ties go to
 the smaller id, then the earlier row. Rows that repeat an id are candidates and queries of
-their own; a null id is a candidate after all others and no query. Components are cut to
-64-bit range. Without queries or candidates there are no rows.
+their own; a null id is a candidate after all others and no query. Without queries or
+candidates there are no rows. Vectors so long that a product of two could pass 63 bits
+raise an error rather than give wrong ranks.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._common import hashed_share, saved
 
-SLAB, BLOCK, BANDS, SAMPLE_ROWS, LEAD, STEP = 4096, 512, 32, 1024, 16, 1024
+SLAB, BLOCK, BANDS, SAMPLE_ROWS, LEAD, STEP, STRETCHES = 4096, 4096, 32, 1024, 16, 512, 32
 _OUT = "q_row long, query_id long, c_row long, vec_id long, score long"
 
 
@@ -115,6 +117,21 @@ def _meet(queries: DataFrame, slabs: DataFrame, axes: np.ndarray, k: int) -> Dat
     return queries.groupBy("block", "slab").cogroup(slabs.groupBy("block", "slab")).applyInPandas(run, _OUT)
 
 
+def _blocked(asked: DataFrame) -> tuple[DataFrame, int]:
+    """Queries with their block: one of ``STRETCHES`` stretches of length, dealt into parts of about ``BLOCK``."""
+    total = asked.count()
+    stretches = max(1, min(STRETCHES, total // BLOCK))
+    cuts = asked.agg(F.percentile_approx("length", [i / stretches for i in range(1, stretches)], 10000)).first()[0] or [] if stretches > 1 else []
+    cuts = sorted(set(cuts))
+    stretch = F.expr("0" + "".join(f" + case when length > {c!r}D then 1 else 0 end" for c in cuts))
+    asked = asked.withColumn("stretch", stretch)
+    sizes = {r["stretch"]: r["n"] for r in asked.groupBy("stretch").agg(F.count("*").alias("n")).collect()}
+    parts = [-(-sizes.get(i, 1) // BLOCK) for i in range(len(cuts) + 1)]
+    starts = [sum(parts[:i]) for i in range(len(parts))]
+    pick = lambda values: "element_at(array({}), stretch + 1)".format(", ".join(map(str, values)))
+    return asked.withColumn("block", F.expr(f"cast({pick(starts)} + pmod(xxhash64(row, 3), {pick(parts)}) as int)")).drop("stretch"), sum(parts)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best other rows of every query row.
 
@@ -122,7 +139,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     """
     base = saved(quantised(vectors, ident, vector, scale))
     axes = _rotation(base)
-    cuts = base.agg(F.percentile_approx("length", [i / BANDS for i in range(BANDS - 1, 0, -1)], 10000)).first()[0] or []
+    cuts, far = base.agg(F.percentile_approx("length", [i / BANDS for i in range(BANDS - 1, 0, -1)], 10000), F.max("length")).first()
+    cuts = cuts or []
+    if far and far * far >= 2.0**63:
+        raise OverflowError("vectors too long for 64-bit scores")
     cuts = sorted(set(cuts), reverse=True)
     band = F.expr("0" + "".join(f" + case when length < {c!r}D then 1 else 0 end" for c in cuts))
     banded = base.withColumn("band", band)
@@ -131,8 +151,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     parts = "element_at(array({}), band + 1)".format(", ".join(str(-(-sizes.get(b, (1, 0))[0] // SLAB)) for b in range(len(cuts) + 1)))
     slabs = banded.withColumn("slab", F.expr(f"band * 4294967296L + pmod(xxhash64(row), {parts})")).select("slab", "row", "ident", "vec", "length")
     asked = base.where(is_query & F.col("ident").isNotNull())
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked = saved(asked.withColumn("block", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(blocks)).cast("int")))
+    asked, blocks = _blocked(asked)
+    asked = saved(asked)
     top = bands[0] * 4294967296 if bands else 0
     seeds = saved(
         _meet(
