@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -64,12 +67,18 @@ def scratch_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to a scratch table and read it back: lineage ends at durable files.
 
-    The folder of the application goes when its driver ends.
+    The shuffles of the write go with it. The folder of the application goes when its driver
+    ends.
     """
     spark = df.sparkSession
     top = scratch_dir(spark)
     path = f"{top}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
