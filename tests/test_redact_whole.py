@@ -1,5 +1,6 @@
 """The redaction queries over whole texts, against the same rules applied one by one in Python."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -18,17 +19,21 @@ TEXTS = [
     "TOKEN_A=1 /home/me/x\n/Users/you see a/.env AB12CD34EF https://u:p@h.org/a?q=1 sk-abcdefgh1",
     "emoji \U0001f600 " * 120 + "last@example.org",
 ]
+def md5(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 LITERALS = {
-    "redact_email_whole": ("cautious", "email", None),
-    "redact_hex_strict_whole": ("strict", "secret_like", None),
-    "redact_collapse_whole": ("strict", "long_output_collapsed", None),
-    "redact_env_cautious_whole": ("cautious", "env_assignment", lambda i: f"a SECRET_TOKEN=abc{i} PASSWORD=x b FOO=1"),
-    "redact_env_strict_whole": ("strict", "env_assignment", lambda i: f'a SECRET_TOKEN=abc{i} PASSWORD="x y" b FOO=1'),
-    "redact_tokens_whole": ("minimal", "secret_like", lambda i: f"x sk-abcdefgh{i} ghp_abcdefgh{i}, glpat-abcdefgh pat_abcd.efgh eyJa{i}.b-c.d_e sk-short"),
-    "redact_ten_char_whole": ("cautious", "secret_like", lambda i: f"dev AB12CD34E{'' if i % 2 else 'F'}, ABCDEFGHIJ 1234567890"),
-    "redact_home_whole": ("cautious", "home_path", lambda i: f"at /Users/u{i}/x, not /homes/a or /home/a, but /home/v{i}"),
-    "redact_authfile_whole": ("cautious", "known_auth_file", lambda i: f"see conf/.npmrc and a{i}.pem"),
-    "redact_team_id_whole": ("cautious", "secret_like", lambda i: f"the team ID is `AB{i:08d}` ok"),
+    "redact_email": ("cautious", "email", None),
+    "redact_hex_strict": ("strict", "secret_like", lambda i: f" id {md5(str(i))}{md5(f'x{i}')} end"),
+    "redact_collapse": ("strict", "long_output_collapsed", None),
+    "redact_env_cautious": ("cautious", "env_assignment", lambda i: f" a SECRET_TOKEN=abc{i} PASSWORD=x b FOO=1"),
+    "redact_env_strict": ("strict", "env_assignment", lambda i: f' a SECRET_TOKEN=abc{i} PASSWORD="x y" b FOO=1'),
+    "redact_tokens": ("minimal", "secret_like", lambda i: f" x sk-abcdefgh{i} ghp_abcdefgh{i}, glpat-abcdefgh pat_abcd.efgh eyJa{i}.b-c.d_e sk-short"),
+    "redact_ten_char": ("cautious", "secret_like", lambda i: f" dev AB12CD34E{'' if i % 2 else 'F'}, ABCDEFGHIJ 1234567890"),
+    "redact_home": ("cautious", "home_path", lambda i: f" at /Users/u{i}/x, not /homes/a or /home/a, but /home/v{i}"),
+    "redact_authfile": ("cautious", "known_auth_file", lambda i: f" see conf/.npmrc and a{i}.pem"),
+    "redact_team_id": ("cautious", "secret_like", lambda i: f" the team ID is `AB{i:08d}` ok"),
 }
 
 
@@ -58,7 +63,7 @@ def test_whole_texts(spark, documents, name):
     mode, kind, literal = LITERALS[name]
     want = {}
     for i, t in texts.items():
-        text, found = plain(f"{t} {literal(i)}" if literal else t, mode, "collapse" in name)
+        text, found = plain(f"{t}{literal(i)}" if literal else t, mode, "collapse" in name)
         want[i] = text, found[kind]
     got = {r["doc_id"]: (r["text"], r["n"]) for r in QUERIES[name](spark, d).collect()}
     assert got == want and sum(n for _, n in got.values()) > 0
@@ -69,5 +74,5 @@ def test_whole_counts(spark, documents):
     want = Counter()
     for i, t in texts.items():
         want += plain(f"{t} API_KEY=v{i} sk-abcdefghij me@example.com https://h.org/p?q=1 /home/me/x a/.npmrc", "cautious")[1]
-    got = {r["kind"]: r["n"] for r in QUERIES["redact_counts_by_kind_whole"](spark, d).collect()}
+    got = {r["kind"]: r["n"] for r in QUERIES["redact_counts_by_kind"](spark, d).collect()}
     assert +Counter(got) == want and set(got) == set(redact.KINDS)

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import checked
@@ -32,6 +33,7 @@ class Rule:
     pattern: str  # valid for Java and Python alike
     replacement: str  # with $1, $2
     modes: tuple[str, ...] = ("minimal", "cautious", "strict")
+    needs: tuple[str, ...] = ()  # every match holds one of these
 
 
 _L, _R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -41,28 +43,28 @@ _SECRET = "[REDACTED_SECRET]"
 _URL = "[^\\s\"'<>)}\\]"
 #: What is redacted, and by what (fixed values: patterns and marks).
 RULES = [
-    Rule("env_assignment", f"{_L}([A-Z][A-Z0-9_]{{2,}}){_VALUE}", "$1=[REDACTED_ENV]", _STRICT),
-    Rule("env_assignment", f"{_L}([A-Z][A-Z0-9_]*(?:TOKEN|SECRET|KEY|PASSWORD|PASS|AUTH|CREDENTIAL)[A-Z0-9_]*){_VALUE}", "$1=[REDACTED_ENV]", ("minimal", "cautious")),
-    Rule("secret_like", f"{_L}((?:[Aa]pple [Dd]eveloper )?[Tt]eam(?:\\s+ID)?(?:\\s+is)?\\s+`?)[A-Z0-9]{{10}}(`?)", f"$1{_SECRET}$2", _MOST),
-    Rule("secret_like", f"{_L}(?:DEVELOPMENT_TEAM(?:\\s*=)?|[Aa]pplication-identifier:\\s*)`?[A-Z0-9]{{10}}(`?)", f"{_SECRET}$1", _MOST),
-    Rule("secret_like", f"{_L}([A-Z]{{1,9}}_DEV_TEAM=`?)[A-Z0-9]{{10}}(`?)", f"$1{_SECRET}$2", _MOST),
+    Rule("env_assignment", f"{_L}([A-Z][A-Z0-9_]{{2,}}){_VALUE}", "$1=[REDACTED_ENV]", _STRICT, ("=",)),
+    Rule("env_assignment", f"{_L}([A-Z][A-Z0-9_]*(?:TOKEN|SECRET|KEY|PASSWORD|PASS|AUTH|CREDENTIAL)[A-Z0-9_]*){_VALUE}", "$1=[REDACTED_ENV]", ("minimal", "cautious"), ("=",)),
+    Rule("secret_like", f"{_L}((?:[Aa]pple [Dd]eveloper )?[Tt]eam(?:\\s+ID)?(?:\\s+is)?\\s+`?)[A-Z0-9]{{10}}(`?)", f"$1{_SECRET}$2", _MOST, ("eam",)),
+    Rule("secret_like", f"{_L}(?:DEVELOPMENT_TEAM(?:\\s*=)?|[Aa]pplication-identifier:\\s*)`?[A-Z0-9]{{10}}(`?)", f"{_SECRET}$1", _MOST, ("DEVELOPMENT_TEAM", "pplication-identifier:")),
+    Rule("secret_like", f"{_L}([A-Z]{{1,9}}_DEV_TEAM=`?)[A-Z0-9]{{10}}(`?)", f"$1{_SECRET}$2", _MOST, ("_DEV_TEAM=",)),
     Rule("secret_like", f"{_L}[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{16}}{_R}", _SECRET, _MOST),
     Rule("secret_like", "(?<![A-Z0-9])(?=[A-Z0-9]{10}(?![A-Z0-9]))(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*[0-9])[A-Z0-9]{10}", _SECRET, _MOST),
-    Rule("secret_like", f"{_L}sk-[A-Za-z0-9_-]{{8,}}(?<![-])", _SECRET),
-    Rule("secret_like", f"{_L}ghp_[A-Za-z0-9_]{{8,}}", _SECRET),
-    Rule("secret_like", f"{_L}glpat-[A-Za-z0-9_-]{{8,}}(?<![-])", _SECRET),
-    Rule("secret_like", f"{_L}pat_[A-Za-z0-9._-]{{8,}}(?<![.-])", _SECRET),
-    Rule("secret_like", f"{_L}eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+(?<![-])", _SECRET),
+    Rule("secret_like", f"{_L}sk-[A-Za-z0-9_-]{{8,}}(?<![-])", _SECRET, ("minimal", "cautious", "strict"), ("sk-",)),
+    Rule("secret_like", f"{_L}ghp_[A-Za-z0-9_]{{8,}}", _SECRET, ("minimal", "cautious", "strict"), ("ghp_",)),
+    Rule("secret_like", f"{_L}glpat-[A-Za-z0-9_-]{{8,}}(?<![-])", _SECRET, ("minimal", "cautious", "strict"), ("glpat-",)),
+    Rule("secret_like", f"{_L}pat_[A-Za-z0-9._-]{{8,}}(?<![.-])", _SECRET, ("minimal", "cautious", "strict"), ("pat_",)),
+    Rule("secret_like", f"{_L}eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+(?<![-])", _SECRET, ("minimal", "cautious", "strict"), ("eyJ",)),
     Rule("secret_like", f"{_L}[A-Fa-f0-9]{{40,}}{_R}", _SECRET, _STRICT),
     Rule("secret_like", f"{_L}[A-Za-z0-9+/]{{48,}}={{0,2}}(?:(?<=[A-Za-z0-9_]){_R}|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))", _SECRET, _STRICT),
-    Rule("email", f"(?<![A-Za-z0-9._%+/-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}{_R}", "[REDACTED_EMAIL]", _MOST),
-    Rule("url_query", f"(https?://){_URL}/?#@]+@({_URL}/?#@]+)(/{_URL}?#]*)(?:[?#]{_URL}]*)?", "$1$2$3", _MOST),
-    Rule("url_query", f"(https?://){_URL}/?#@]+@({_URL}/?#@]+)(?:[?#]{_URL}]*)?", "$1$2/", _MOST),
-    Rule("url_query", f"(https?://{_URL}/?#@]+)(/{_URL}?#]*)[?#]{_URL}]+", "$1$2", _MOST),
-    Rule("url_query", f"(https?://{_URL}/?#@]+)[?#]{_URL}]+", "$1/", _MOST),
-    Rule("home_path", "/Users/[A-Za-z0-9._-]+(?=/|$)", "~", _MOST),
-    Rule("home_path", "/home/[A-Za-z0-9._-]+(?=/|$)", "~", _MOST),
-    Rule("known_auth_file", "(?:^|([ ])|[\\s\"'(])[^\\s\"'()]*?(?:\\.env(?:\\.[A-Za-z0-9_-]+)?|auth\\.json|\\.npmrc|\\.pem|\\.p8|\\.ssh/[^\\s\"'()]+)", "$1[REDACTED_AUTH_PATH]", _MOST),
+    Rule("email", f"(?<![A-Za-z0-9._%+/-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}{_R}", "[REDACTED_EMAIL]", _MOST, ("@",)),
+    Rule("url_query", f"(https?://){_URL}/?#@]+@({_URL}/?#@]+)(/{_URL}?#]*)(?:[?#]{_URL}]*)?", "$1$2$3", _MOST, ("://",)),
+    Rule("url_query", f"(https?://){_URL}/?#@]+@({_URL}/?#@]+)(?:[?#]{_URL}]*)?", "$1$2/", _MOST, ("://",)),
+    Rule("url_query", f"(https?://{_URL}/?#@]+)(/{_URL}?#]*)[?#]{_URL}]+", "$1$2", _MOST, ("://",)),
+    Rule("url_query", f"(https?://{_URL}/?#@]+)[?#]{_URL}]+", "$1/", _MOST, ("://",)),
+    Rule("home_path", "/Users/[A-Za-z0-9._-]+(?=/|$)", "~", _MOST, ("/Users/",)),
+    Rule("home_path", "/home/[A-Za-z0-9._-]+(?=/|$)", "~", _MOST, ("/home/",)),
+    Rule("known_auth_file", "(?:^|([ ])|[\\s\"'(])[^\\s\"'()]*?(?:\\.env(?:\\.[A-Za-z0-9_-]+)?|auth\\.json|\\.npmrc|\\.pem|\\.p8|\\.ssh/[^\\s\"'()]+)", "$1[REDACTED_AUTH_PATH]", _MOST, (".env", "auth.json", ".npmrc", ".pem", ".p8", ".ssh/")),
 ]
 
 
@@ -75,6 +77,16 @@ def limit_for(mode: str, max_output: int | None = None) -> int | None:
     return max_output if max_output is not None else MAX_OUTPUT.get(mode)
 
 
+def _once(name: str, rule: Rule, of: Callable[[Column, Rule], Column]) -> Column:
+    """``of`` a column that is named once: the optimizer may put a long chain of rules in its place."""
+    return F.transform(F.array(F.col(name)), lambda text: of(text, rule))[0]
+
+
+def _may(text: Column, rule: Rule) -> Column:
+    """Whether a rule can match; a search for fixed strings costs far less than its pattern."""
+    return reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in rule.needs)) if rule.needs else text.isNotNull()
+
+
 def columns(df: DataFrame, names: list[str], mode: str, outputs: tuple[str, ...] = (), max_output: int | None = None, counts: str = "redactions") -> DataFrame:
     """``df`` with its text columns redacted and a map of counts by kind, zeros included.
 
@@ -92,13 +104,22 @@ def columns(df: DataFrame, names: list[str], mode: str, outputs: tuple[str, ...]
             extra.append(n)
         for i, r in enumerate(rules):
             n = f"__n_{name}_{i}"
-            df = df.withColumns({n: F.coalesce(F.regexp_count(F.col(name), F.lit(r.pattern)), F.lit(0)).cast("bigint"), name: F.regexp_replace(name, r.pattern, r.replacement)})
+            count = _once(name, r, lambda t, r: F.when(_may(t, r), F.regexp_count(t, F.lit(r.pattern))))
+            put = _once(name, r, lambda t, r: F.when(_may(t, r), F.regexp_replace(t, r.pattern, r.replacement)).otherwise(t))
+            df = df.withColumns({n: F.coalesce(count, F.lit(0)).cast("bigint"), name: put})
             found[r.kind].append(n)
             extra.append(n)
     total = F.create_map(*[x for k, ns in found.items() for x in (F.lit(k), F.expr(" + ".join(ns)) if ns else F.lit(0).cast("bigint"))])
     return df.withColumn(counts, total).drop(*extra)
 
 
+def totals(df: DataFrame, counts: str = "redactions") -> DataFrame:
+    """``(kind, n)`` over all rows of ``columns``, zeros included; one aggregate, spread into rows after it."""
+    sums = df.agg(*(F.coalesce(F.sum(F.col(counts)[k]), F.lit(0)).cast("bigint").alias(k) for k in KINDS))
+    rows = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in KINDS))
+    return sums.select(F.explode(rows).alias("x")).select("x.*")
+
+
 class Redactor:
     """The same rules over one nested document, with a finding for every replacement."""
 

@@ -488,44 +488,96 @@ def _counted(df: DataFrame, kind: str) -> DataFrame:
     return df.select(key, "text", F.col("redactions")[kind].alias("n"))
 
 
-@query("select doc_id, regexp_replace(text, '(^|[^A-Za-z0-9._%+/-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})', '\\1[REDACTED_EMAIL]', 'g') as text, cast(len(regexp_extract_all(text, '(^|[^A-Za-z0-9._%+/-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as bigint) as n from (select doc_id, 'mail ' || doc_id || '@example.org, x' as text from documents)")
-def redact_email(spark, d):
-    return _counted(_redacted(spark, d, "cautious", "concat('mail ', doc_id, '@example.org, x')"), "email")
-
-
-@query("select doc_id, 'a SECRET_TOKEN=[REDACTED_ENV] PASSWORD=x b FOO=1' as text, cast(1 as bigint) as n from documents")
-def redact_env_cautious(spark, d):
-    return _counted(_redacted(spark, d, "cautious", "concat('a SECRET_TOKEN=abc', doc_id, ' PASSWORD=x b FOO=1')"), "env_assignment")
-
-
-@query("select doc_id, 'a SECRET_TOKEN=[REDACTED_ENV] PASSWORD=[REDACTED_ENV] b FOO=[REDACTED_ENV]' as text, cast(3 as bigint) as n from documents")
-def redact_env_strict(spark, d):
-    return _counted(_redacted(spark, d, "strict", "concat('a SECRET_TOKEN=abc', doc_id, ' PASSWORD=\"x y\" b FOO=1')"), "env_assignment")
-
+#: The rules of ``redact.RULES`` for DuckDB's regexes, which have no look-around: kind, modes, pattern, replacement.
+_W, _U = "[\\t-\\r ", "[^\\t-\\r \"'<>)}\\]"
+_DUCK_VALUE = "=(?:\"[^\"]*\"|'[^']*'|[^\\t-\\r \"'`]+)"
+_MARK = "[REDACTED_SECRET]"
+_DUCK_RULES = [
+    ("env_assignment", "s", f"\\b([A-Z][A-Z0-9_]{{2,}}){_DUCK_VALUE}", "\\1=[REDACTED_ENV]"),
+    ("env_assignment", "mc", f"\\b([A-Z][A-Z0-9_]*(?:TOKEN|SECRET|KEY|PASSWORD|PASS|AUTH|CREDENTIAL)[A-Z0-9_]*){_DUCK_VALUE}", "\\1=[REDACTED_ENV]"),
+    ("secret_like", "cs", f"\\b((?:[Aa]pple [Dd]eveloper )?[Tt]eam(?:{_W}]+ID)?(?:{_W}]+is)?{_W}]+`?)[A-Z0-9]{{10}}(`?)", f"\\1{_MARK}\\2"),
+    ("secret_like", "cs", f"\\b(?:DEVELOPMENT_TEAM(?:{_W}]*=)?|[Aa]pplication-identifier:{_W}]*)`?[A-Z0-9]{{10}}(`?)", f"{_MARK}\\1"),
+    ("secret_like", "cs", "\\b([A-Z]{1,9}_DEV_TEAM=`?)[A-Z0-9]{10}(`?)", f"\\1{_MARK}\\2"),
+    ("secret_like", "cs", "\\b[0-9A-Fa-f]{8}-[0-9A-Fa-f]{16}\\b", _MARK),
+    ("secret_like", "cs", None, _MARK),  # whole runs of ten capitals and digits, both among them
+    ("secret_like", "mcs", "\\bsk-[A-Za-z0-9_-]{7,}[A-Za-z0-9_]", _MARK),
+    ("secret_like", "mcs", "\\bghp_[A-Za-z0-9_]{8,}", _MARK),
+    ("secret_like", "mcs", "\\bglpat-[A-Za-z0-9_-]{7,}[A-Za-z0-9_]", _MARK),
+    ("secret_like", "mcs", "\\bpat_[A-Za-z0-9._-]{7,}[A-Za-z0-9_]", _MARK),
+    ("secret_like", "mcs", "\\beyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]*[A-Za-z0-9_]", _MARK),
+    ("secret_like", "s", "\\b[A-Fa-f0-9]{40,}\\b", _MARK),
+    ("secret_like", "s", "(^|[^A-Za-z0-9_])[A-Za-z0-9+/]{48,}={0,2}\\b", f"\\1{_MARK}"),
+    ("email", "cs", "(^|[^A-Za-z0-9._%+/-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b", "\\1[REDACTED_EMAIL]"),
+    ("url_query", "cs", f"(https?://){_U}/?#@]+@({_U}/?#@]+)(/{_U}?#]*)(?:[?#]{_U}]*)?", "\\1\\2\\3"),
+    ("url_query", "cs", f"(https?://){_U}/?#@]+@({_U}/?#@]+)(?:[?#]{_U}]*)?", "\\1\\2/"),
+    ("url_query", "cs", f"(https?://{_U}/?#@]+)(/{_U}?#]*)[?#]{_U}]+", "\\1\\2"),
+    ("url_query", "cs", f"(https?://{_U}/?#@]+)[?#]{_U}]+", "\\1/"),
+    ("home_path", "cs", "/Users/[A-Za-z0-9._-]+(/|\\n?$)", "~\\1"),
+    ("home_path", "cs", "/home/[A-Za-z0-9._-]+(/|\\n?$)", "~\\1"),
+    ("known_auth_file", "cs", "(?:^|([ ])|[\\t-\\r \"'(])[^\\t-\\r \"'()]*?(?:\\.env(?:\\.[A-Za-z0-9_-]+)?|auth\\.json|\\.npmrc|\\.pem|\\.p8|\\.ssh/[^\\t-\\r \"'()]+)", "\\1[REDACTED_AUTH_PATH]"),
+]
+_TEN = "len(x) = 10 and regexp_matches(x, '[A-Z]') and regexp_matches(x, '[0-9]')"
+
+
+def _redacted_sql(mode: str, text: str, cut: int | None = None) -> str:
+    """DuckDB query of (doc_id, text, a count a kind) after all rules of a mode."""
+    kinds = redact.KINDS
+    sql = f"select doc_id, {text} as text, " + ", ".join(f"0 as {k}" for k in kinds) + " from documents"
+
+    def step(kind: str, text: str, n: str) -> str:
+        return f"select doc_id, {text} as text, " + ", ".join(f"{k} + {n} as {k}" if k == kind else k for k in kinds) + f" from ({sql})"
+
+    if cut:
+        short = f"substr(text, 1, {cut}) || chr(10) || '[... output collapsed; ' || (length(text) - {cut}) || ' chars omitted ...]'"
+        sql = step("long_output_collapsed", f"case when length(text) > {cut} then {short} else text end", f"cast(length(text) > {cut} as int)")
+    for kind, modes, pattern, put in _DUCK_RULES:
+        if mode[0] not in modes:
+            continue
+        if pattern is None:
+            runs, gaps = "regexp_extract_all(text, '[A-Z0-9]+')", "regexp_split_to_array(text, '[A-Z0-9]+')"
+            swapped = f"list_transform({runs}, lambda x: case when {_TEN} then '{put}' else x end)"
+            sql = step(kind, f"array_to_string(list_transform(list_zip({gaps}, {swapped}), lambda z: z[1] || coalesce(z[2], '')), '')", f"len(list_filter({runs}, lambda x: {_TEN}))")
+        else:
+            quoted = pattern.replace("'", "''")
+            sql = step(kind, f"regexp_replace(text, '{quoted}', '{put}', 'g')", f"len(regexp_extract_all(text, '{quoted}'))")
+    return sql
+
+
+def _redaction(name: str, mode: str, kind: str, spark_text: str = "''", duck_text: str = "''", outputs: tuple[str, ...] = ()) -> None:
+    """Register ``name``: the whole texts of the documents, with a literal behind them where texts seldom hold a match."""
 
-@query("select doc_id, 'x [REDACTED_SECRET] [REDACTED_SECRET], [REDACTED_SECRET] [REDACTED_SECRET] [REDACTED_SECRET] sk-short' as text, cast(5 as bigint) as n from documents")
-def redact_tokens(spark, d):
-    return _counted(_redacted(spark, d, "minimal", "concat('x sk-abcdefgh', doc_id, ' ghp_abcdefgh', doc_id, ', glpat-abcdefgh pat_abcd.efgh eyJa', doc_id, '.b-c.d_e sk-short')"), "secret_like")
+    def put(spark, d):
+        return _counted(_redacted(spark, d, mode, f"concat(coalesce(text, ''), {spark_text})", outputs=outputs), kind)
 
+    put.__name__ = name
+    sql = _redacted_sql(mode, f"coalesce(text, '') || {duck_text}", redact.MAX_OUTPUT[mode] if outputs else None)
+    query(f"select doc_id, text, cast({kind} as bigint) as n from ({sql})")(put)
 
-@query("select doc_id, regexp_replace(text, '\\b[A-Fa-f0-9]{40,}\\b', '[REDACTED_SECRET]', 'g') as text, cast(len(regexp_extract_all(text, '\\b[A-Fa-f0-9]{40,}\\b')) as bigint) as n from (select doc_id, 'id ' || md5(cast(doc_id as varchar)) || md5('x' || doc_id) || ' end' as text from documents)")
-def redact_hex_strict(spark, d):
-    return _counted(_redacted(spark, d, "strict", "concat('id ', md5(cast(doc_id as string)), md5(concat('x', doc_id)), ' end')"), "secret_like")
 
+def _same(*parts: str) -> tuple[str, str]:
+    """The concatenation of literals and doc_id, for Spark and for DuckDB."""
+    return f"concat({', '.join(parts)})", " || ".join(f"({p})" for p in parts)
 
-@query("select doc_id, case when doc_id % 2 = 0 then 'dev [REDACTED_SECRET], ABCDEFGHIJ 1234567890' else 'dev AB12CD34E, ABCDEFGHIJ 1234567890' end as text, cast(1 - doc_id % 2 as bigint) as n from documents")
-def redact_ten_char(spark, d):
-    return _counted(_redacted(spark, d, "cautious", "concat('dev AB12CD34E', case when doc_id % 2 = 0 then 'F' else '' end, ', ABCDEFGHIJ 1234567890')"), "secret_like")
 
+_redaction("redact_email", "cautious", "email")
+_redaction("redact_env_cautious", "cautious", "env_assignment", *_same("' a SECRET_TOKEN=abc'", "doc_id", "' PASSWORD=x b FOO=1'"))
+_redaction("redact_env_strict", "strict", "env_assignment", *_same("' a SECRET_TOKEN=abc'", "doc_id", "' PASSWORD=\"x y\" b FOO=1'"))
+_redaction("redact_tokens", "minimal", "secret_like", *_same("' x sk-abcdefgh'", "doc_id", "' ghp_abcdefgh'", "doc_id", "', glpat-abcdefgh pat_abcd.efgh eyJa'", "doc_id", "'.b-c.d_e sk-short'"))
+_redaction("redact_hex_strict", "strict", "secret_like", *_same("' id '", "md5(cast(doc_id as string))", "md5(concat('x', doc_id))", "' end'"))
+_redaction("redact_ten_char", "cautious", "secret_like", *_same("' dev AB12CD34E'", "case when doc_id % 2 = 0 then 'F' else '' end", "', ABCDEFGHIJ 1234567890'"))
+_redaction("redact_home", "cautious", "home_path", *_same("' at /Users/u'", "doc_id", "'/x, not /homes/a or /home/a, but /home/v'", "doc_id"))
+_redaction("redact_authfile", "cautious", "known_auth_file", *_same("' see conf/.npmrc and a'", "doc_id", "'.pem'"))
+_redaction("redact_team_id", "cautious", "secret_like", *_same("' the team ID is `AB'", "lpad(cast(doc_id as string), 8, '0')", "'` ok'"))
+_redaction("redact_collapse", "strict", "long_output_collapsed", outputs=("text",))
 
-@query("select doc_id, 'at ~/x, not /homes/a or /home/a, but ~' as text, cast(2 as bigint) as n from documents")
-def redact_home(spark, d):
-    return _counted(_redacted(spark, d, "cautious", "concat('at /Users/u', doc_id, '/x, not /homes/a or /home/a, but /home/v', doc_id)"), "home_path")
+_EVERY_KIND = _same("' API_KEY=v'", "doc_id", "' sk-abcdefghij me@example.com https://h.org/p?q=1 /home/me/x a/.npmrc'")
+_SUMS = ", ".join(f"sum({k}) as {k}" for k in redact.KINDS)
+_BY_KIND = f"select {_SUMS} from (" + _redacted_sql("cautious", f"coalesce(text, '') || {_EVERY_KIND[1]}") + ")"
 
 
-@query("select doc_id, 'see [REDACTED_AUTH_PATH] and [REDACTED_AUTH_PATH]' as text, cast(2 as bigint) as n from documents")
-def redact_authfile(spark, d):
-    return _counted(_redacted(spark, d, "cautious", "concat('see conf/.npmrc and a', doc_id, '.pem')"), "known_auth_file")
+@query(" union all ".join(f"select '{k}' as kind, cast({k} as bigint) as n from ({_BY_KIND})" for k in redact.KINDS))
+def redact_counts_by_kind(spark, d):
+    return redact.totals(_redacted(spark, d, "cautious", f"concat(coalesce(text, ''), {_EVERY_KIND[0]})"))
 
 
 @query("select page_id, case when contains(url, '?') or contains(url, '#') then regexp_replace(url, '[?#].*$', '') else url end as text, cast(case when contains(url, '?') or contains(url, '#') then 1 else 0 end as bigint) as n from pages")
@@ -533,53 +585,6 @@ def redact_url(spark, d):
     return _counted(_redacted(spark, d, "cautious", "url", "page_id", "pages"), "url_query")
 
 
-@query("select doc_id, case when length(text) > 1000 then substr(text, 1, 1000) || chr(10) || '[... output collapsed; ' || (length(text) - 1000) || ' chars omitted ...]' else text end as text, cast(case when length(text) > 1000 then 1 else 0 end as bigint) as n from (select doc_id, repeat('ab ', cast(200 + doc_id % 300 as int)) as text from documents)")
-def redact_collapse(spark, d):
-    return _counted(_redacted(spark, d, "strict", "repeat('ab ', cast(200 + doc_id % 300 as int))", outputs=("text",)), "long_output_collapsed")
-
-
-@query("select kind, n * (select count(*) from documents) as n from (values ('env_assignment', 1), ('secret_like', 1), ('email', 1), ('url_query', 1), ('home_path', 1), ('known_auth_file', 1), ('long_output_collapsed', 0)) as v(kind, n)")
-def redact_counts_by_kind(spark, d):
-    text = "concat('API_KEY=v', doc_id, ' sk-abcdefghij me@example.com https://h.org/p?q=1 /home/me/x a/.npmrc')"
-    rows = _redacted(spark, d, "cautious", text).select(F.explode("redactions").alias("kind", "n"))
-    return rows.groupBy("kind").agg(F.sum("n").alias("n"))
-
-
-@query("select doc_id, regexp_replace(text, 'AB[0-9]{8}', '[REDACTED_SECRET]') as text, cast(1 as bigint) as n from (select doc_id, 'the team ID is `AB' || printf('%08d', doc_id) || '` ok' as text from documents)")
-def redact_team_id(spark, d):
-    return _counted(_redacted(spark, d, "cautious", "format_string('the team ID is `AB%08d` ok', doc_id)"), "secret_like")
-
-
-def _whole(name: str, mode: str, kind: str, literal: str | None = None, outputs: tuple[str, ...] = ()) -> None:
-    """Register ``name``: the whole texts of the documents, with a literal behind them where texts seldom hold a match."""
-
-    def put(spark, d):
-        text = "coalesce(text, '')"
-        return _counted(_redacted(spark, d, mode, f"concat({text}, ' ', {literal})" if literal else text, outputs=outputs), kind)
-
-    put.__name__ = name
-    query()(put)
-
-
-_whole("redact_email_whole", "cautious", "email")
-_whole("redact_env_cautious_whole", "cautious", "env_assignment", "concat('a SECRET_TOKEN=abc', doc_id, ' PASSWORD=x b FOO=1')")
-_whole("redact_env_strict_whole", "strict", "env_assignment", "concat('a SECRET_TOKEN=abc', doc_id, ' PASSWORD=\"x y\" b FOO=1')")
-_whole("redact_tokens_whole", "minimal", "secret_like", "concat('x sk-abcdefgh', doc_id, ' ghp_abcdefgh', doc_id, ', glpat-abcdefgh pat_abcd.efgh eyJa', doc_id, '.b-c.d_e sk-short')")
-_whole("redact_hex_strict_whole", "strict", "secret_like")
-_whole("redact_ten_char_whole", "cautious", "secret_like", "concat('dev AB12CD34E', case when doc_id % 2 = 0 then 'F' else '' end, ', ABCDEFGHIJ 1234567890')")
-_whole("redact_home_whole", "cautious", "home_path", "concat('at /Users/u', doc_id, '/x, not /homes/a or /home/a, but /home/v', doc_id)")
-_whole("redact_authfile_whole", "cautious", "known_auth_file", "concat('see conf/.npmrc and a', doc_id, '.pem')")
-_whole("redact_team_id_whole", "cautious", "secret_like", "format_string('the team ID is `AB%08d` ok', doc_id)")
-_whole("redact_collapse_whole", "strict", "long_output_collapsed", outputs=("text",))
-
-
-@query()
-def redact_counts_by_kind_whole(spark, d):
-    text = "concat(coalesce(text, ''), ' API_KEY=v', doc_id, ' sk-abcdefghij me@example.com https://h.org/p?q=1 /home/me/x a/.npmrc')"
-    rows = _redacted(spark, d, "cautious", text).select(F.explode("redactions").alias("kind", "n"))
-    return rows.groupBy("kind").agg(F.sum("n").alias("n"))
-
-
 # Scalar functions.
 
 
