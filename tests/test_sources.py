@@ -127,3 +127,16 @@ def test_stats_cache_coerces(spark, tmp_path):
     assert stats_cache.read(spark, str(tmp_path / "none.json")).isEmpty()
     path.write_text("[1]")
     assert stats_cache.read(spark, str(path)).isEmpty()
+
+
+def test_paths_with_glob_characters(spark, tmp_path):
+    """A folder or file whose name reads like a pattern is taken as it is, and spoils no other."""
+    roots = {}
+    for agent, made in (("claude", logs.source_a), ("codex", logs.source_b), ("eventlog", logs.source_c)):
+        made(tmp_path / "p[1] {a,b} x*y? 50%+z" / agent)
+        roots[agent] = str(tmp_path / "p[1] {a,b} x*y? 50%+z" / agent)
+    logs.source_a(tmp_path / "p1 a xxy" / "claude")
+    found = scan(spark, roots)
+    assert {r["session_id"] for r in found.sessions.collect()} == {"aaaa-1", "empty", "garbage", "bbbb", "old-id", "flat-id", "cccc-id"}
+    assert found.messages.where("session_id = 'aaaa-1'").count() == 4 and found.messages.where("session_id = 'cccc-id'").count() > 0
+    assert scan(spark, roots, containing="fix the parser").sessions.count() >= 1

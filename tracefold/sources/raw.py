@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,11 @@ def plain(path: str) -> str:
     return path[5:].replace("//", "", 1) if path.startswith("file://") else path[5:] if path.startswith("file:") else path
 
 
+def literal(path: str) -> str:
+    """``path`` as a glob that matches just itself."""
+    return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path) if re.search(r"[\\{}\[\]*?]", path) else path
+
+
 def list_files(spark: SparkSession, root: str, layout: Layout) -> list[str]:
     """Sorted paths; a missing root has none. Works on any file system Spark can read."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -45,7 +51,6 @@ def list_files(spark: SparkSession, root: str, layout: Layout) -> list[str]:
         return []
     if layout.folders == "**":
         import fnmatch
-        import re
 
         name = re.compile("|".join(fnmatch.translate(n) for n in layout.names.split(",")))
         walk, found = fs.listFiles(top, True), []
@@ -54,8 +59,8 @@ def list_files(spark: SparkSession, root: str, layout: Layout) -> list[str]:
             if name.match(path.getName()):
                 found.append(path.toString())
     else:
-        pattern = "/".join(x for x in (layout.folders, layout.names) if x)
-        states = fs.globStatus(jvm.org.apache.hadoop.fs.Path(top, pattern)) or []
+        pattern = "/".join(x for x in (literal(top.toString()), layout.folders, layout.names) if x)
+        states = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []
         found = [s.getPath().toString() for s in states if s.isFile()]
     return sorted(plain(p) for p in found)
 
@@ -72,7 +77,7 @@ def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     spark.catalog.refreshByPath(posixpath.commonpath(paths))  # logs grow: what is cached of them is stale
     name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     name = F.regexp_replace(F.regexp_replace(name, "^file:///", "/"), "^file:/(?!/)", "/")
-    return spark.read.text(paths, wholetext=True).select(name.alias("file_path"), F.make_valid_utf8("value").alias("value"))
+    return spark.read.text([literal(p) for p in paths], wholetext=True).select(name.alias("file_path"), F.make_valid_utf8("value").alias("value"))
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
