@@ -102,11 +102,19 @@ def substance(index: Index) -> DataFrame:
     return rows.withColumn("idle", F.coalesce(idle, F.lit(False)))
 
 
-def _ordered(entry: Column, keys: list[str], keep: Column, cap: int | None = None) -> Column:
-    """Entries in order as an array, only where ``keep`` holds, the first ``cap`` of them."""
+def _ordered(entry: Column, keys: list[str], keep: Column) -> Column:
+    """Entries in order as an array, only where ``keep`` holds."""
     rows = F.array_sort(F.collect_list(F.when(keep, F.struct(*keys, entry.alias("entry")))))
-    entries = F.transform(rows, lambda r: r["entry"])
-    return entries if cap is None else F.slice(entries, 1, cap)
+    return F.transform(rows, lambda r: r["entry"])
+
+
+def _among(keep: Column, keys: list, cap: int) -> Column:
+    """Whether a row is among the first ``cap`` of a session for which ``keep`` holds.
+
+    Told before rows are gathered, so that no task holds a session's outputs beyond the cap.
+    """
+    so_far = Window.partitionBy("file_path").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return keep & (F.count_if(keep).over(so_far) <= cap)
 
 
 def tool_usage(index: Index) -> DataFrame:
@@ -120,21 +128,24 @@ def digest(index: Index, full: bool = False) -> DataFrame:
     """One row a session: substance, files, tests, commands, errors, tools, summaries, key turns."""
     calls = classified_calls(index).withColumn("parsed_output", F.when((F.col("agent") == SOURCE_B) & F.col("is_test"), F.try_parse_json("output")))
     at = ["msg_index", "call_index"]
+    erred = F.col("status") == "error"
+    calls = calls.withColumns({"failing": _among(F.col("is_shell") & erred, at, CAP_ERRORS), "erring": _among(erred, at, CAP_ERRORS)})
     tested = F.struct("command", test_outcome(F.col("agent"), F.col("output")).alias("passed"))
     lists = calls.groupBy("file_path").agg(
         _ordered(tested, at, F.col("is_test")).alias("tests"),
-        _ordered(F.struct("name", F.col("input_json").alias("input"), "output"), at, F.col("is_shell") & (F.col("status") == "error"), CAP_ERRORS).alias("failing_commands"),
-        _ordered(F.struct("name", "output"), at, F.col("status") == "error", CAP_ERRORS).alias("errors"),
+        _ordered(F.struct("name", F.col("input_json").alias("input"), "output"), at, F.col("failing")).alias("failing_commands"),
+        _ordered(F.struct("name", "output"), at, F.col("erring")).alias("errors"),
     )
     used = tool_usage(index).groupBy("file_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name", "n"))), lambda t: F.struct(t["name"].alias("name"), t["n"].alias("count"))).alias("tool_usage"))
     spoke = ~is_blank(F.col("text"))
     is_summary = (F.col("role") == "summary") & F.col("subtype").isNotNull() & (F.col("subtype") != "")
-    said = index.messages.groupBy("file_path").agg(
-        _ordered(F.struct("subtype", cut(F.col("text")).alias("text"), "timestamp", "related"), ["msg_index"], is_summary, CAP_SUMMARIES).alias("summaries"),
+    answers = (F.col("role") == "assistant") & spoke
+    told = index.messages.withColumns({"summing": _among(is_summary, ["msg_index"], CAP_SUMMARIES), "closing": _among(answers, [F.desc("msg_index")], CAP_FINAL)})
+    said = told.groupBy("file_path").agg(
+        _ordered(F.struct("subtype", cut(F.col("text")).alias("text"), "timestamp", "related"), ["msg_index"], F.col("summing")).alias("summaries"),
         F.min_by(cut(F.col("text")), F.when((F.col("role") == "user") & spoke, F.col("msg_index"))).alias("goal"),
-        _ordered(cut(F.col("text")), ["msg_index"], (F.col("role") == "assistant") & spoke).alias("spoken"),
+        _ordered(cut(F.col("text")), ["msg_index"], F.col("closing")).alias("final_state"),
     )
-    said = said.withColumn("final_state", F.expr(f"slice(spoken, greatest(size(spoken) - {CAP_FINAL - 1}, 1), {CAP_FINAL})")).drop("spoken")
     out = substance(index).join(lists, "file_path", "left").join(used, "file_path", "left").join(said, "file_path", "left")
     for c in ("tests", "failing_commands", "errors", "tool_usage", "summaries", "final_state"):
         out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType)))
