@@ -134,8 +134,10 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        calls = spark.read.parquet(f"{path}/tool_calls").withColumn("input", F.try_parse_json("input"))
-        return cls.from_frames(spark.read.parquet(f"{path}/sessions"), spark.read.parquet(f"{path}/messages"), calls)
+        """What ``save`` or ``streaming.tail.follow`` wrote."""
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+        calls = read("tool_calls", TOOL_CALLS.replace("input variant", "input string")).withColumn("input", F.try_parse_json("input"))
+        return cls.from_frames(read("sessions", SESSIONS), read("messages", MESSAGES), calls)
 
 
 def _commands():
