@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SUMMARY_LABELS, first_line, is_blank, slug_key, slugify
 from ..functions.timex import iso_millis
 from ..model import Index
+from ..sources.raw import literal
 from . import redact
 from .digest import digest
 from .related import related_lists
@@ -212,5 +214,20 @@ def archive(pages: DataFrame) -> DataFrame:
 
 
 def write(found: DataFrame, folder: str) -> None:
-    """Markdown files by slug, written by the executors, one folder a page."""
-    found.select("slug", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("slug").option("lineSep", "\n").text(folder)
+    """One ``.md`` file a page, named by its slug; the folder's other files stay.
+
+    Executors write the texts, the driver only renames files. Pages of equal slugs are told
+    apart by ``--`` and a number, which no slug holds.
+    """
+    spark = found.sparkSession
+    nth = F.row_number().over(Window.partitionBy("slug").orderBy("markdown"))
+    pages = found.select(F.concat("slug", F.when(nth > 1, F.concat(F.lit("--"), nth)).otherwise("")).alias("page"), F.col("markdown").alias("value"))
+    scratch = f"{folder.rstrip('/')}/_pages-{uuid.uuid4().hex}"
+    pages.write.partitionBy("page").option("lineSep", "\n").text(scratch)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(scratch).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for state in fs.globStatus(path(f"{literal(scratch)}/page=*/part-*")) or []:
+        page = path(folder, state.getPath().getParent().getName()[len("page=") :] + ".md")
+        fs.delete(page, False)
+        fs.rename(state.getPath(), page)
+    fs.delete(path(scratch), True)
