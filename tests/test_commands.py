@@ -5,6 +5,7 @@ import pytest
 
 from tracefold import cli
 from tracefold.model import Index
+from tracefold.operators import publish
 from tracefold.operators.filters import Ambiguous, NotFound
 from tracefold.plans import commands, prompts
 from tracefold.streaming import tail, windows
@@ -105,11 +106,53 @@ def test_tail_follows_growth(spark, top, tmp_path):
     logs.write(root / "x.jsonl", [{"type": "message", "message": {"role": "user", "content": "one"}}])
     for n in (1, 2):
         tail.follow(spark, "eventlog", str(root), store, str(tmp_path / "ck"), once=True).awaitTermination()
-        assert spark.read.parquet(f"{store}/messages").count() == n
+        found = Index.load(spark, store)
+        assert (found.sessions.count(), found.messages.count(), found.tool_calls.count()) == (1, n, 0)
+        assert found.search("t" if n > 1 else "o").count() == 1
         with (root / "x.jsonl").open("a") as f:
             f.write('{"type": "message", "message": {"role": "user", "content": "two"}}\n')
 
 
+def test_tail_parses_a_batch_at_once_and_drops_old_rows(spark, top, tmp_path):
+    root, store = tmp_path / "c", str(tmp_path / "store")
+    said = lambda *texts: [{"type": "message", "message": {"role": "user", "content": t}} for t in texts]
+    follow = lambda: tail.follow(spark, "eventlog", str(root), store, str(tmp_path / "ck"), once=True).awaitTermination()
+    for i in range(3):
+        logs.write(root / f"f{i}.jsonl", said("one", "two"))
+    follow()
+    assert Index.load(spark, store).messages.count() == 6
+    same_size = (root / "f0.jsonl").read_text().replace("two", "six")
+    (root / "f0.jsonl").write_text(same_size)
+    logs.write(root / "f1.jsonl", [{"type": "nothing"}])
+    follow()
+    texts = sorted(r["text"] for r in Index.load(spark, store).messages.collect())
+    assert texts == ["one", "one", "six", "two"] and Index.load(spark, store).sessions.count() == 3
+
+
+def test_pages_are_single_files(spark, tmp_path):
+    folder = tmp_path / "out [1]"
+    folder.mkdir()
+    (folder / "own.txt").write_text("stays")
+    pages = spark.createDataFrame([("a", "# A\n\ntext\n"), ("b", "# B1"), ("b", "# B2")], "slug string, markdown string")
+    for _ in range(2):
+        publish.write(pages, str(folder))
+    found = {p.name: p.read_text().strip() for p in folder.iterdir() if not p.name.startswith(".")}
+    assert found == {"a.md": "# A\n\ntext", "b.md": "# B1", "b--2.md": "# B2", "own.txt": "stays"}
+
+
+def test_digest_lists_are_capped_before_they_are_gathered(spark):
+    said = [("/f", "s", i, i, "summary" if i % 2 else "assistant", "recap" if i % 2 else None, f"t{i}") for i in range(1, 121)]
+    messages = spark.createDataFrame(said, "file_path string, session_id string, msg_index int, ord int, role string, subtype string, text string")
+    calls = spark.createDataFrame([("/f", 2 * i, j, "Bash" if i % 2 else "Other", "error", f"o{i}.{j}") for i in range(1, 41) for j in range(2)], "file_path string, msg_index int, call_index int, name string, status string, output string")
+    full = lambda df, like: Index.empty(spark).__getattribute__(like).unionByName(df, allowMissingColumns=True)
+    sessions = full(spark.createDataFrame([("/f", "claude", "s")], "file_path string, agent string, session_id string"), "sessions")
+    row = Index(sessions, full(messages, "messages"), full(calls, "tool_calls")).digest().first()
+    assert [e["output"] for e in row["errors"]] == [f"o{i}.{j}" for i in range(1, 11) for j in range(2)]
+    assert [e["output"] for e in row["failing_commands"]] == [f"o{i}.{j}" for i in range(1, 21, 2) for j in range(2)]
+    assert row["final_state"] == ["t116", "t118", "t120"]
+    assert [s["text"] for s in row["summaries"]] == [f"t{i}" for i in range(1, 101, 2)]
+
+
 def test_windows_on_a_stream(spark, index, tmp_path):
     index.messages.where("ts is not null").select("file_path", "ts").write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema("file_path string, ts timestamp").parquet(str(tmp_path / "m"))

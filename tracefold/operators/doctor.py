@@ -104,6 +104,11 @@ def doctor(spark: SparkSession, roots: dict[str, str] | None = None, agent: str
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
+    return with_totals(out).orderBy("ord").drop("ord")
+
+
+def with_totals(out: DataFrame) -> DataFrame:
+    """The rows of sources and one of their sums, last in ``ord``."""
     sums = [F.sum(c).alias(c) for c in ("files", "sessions", "skipped_compressed", "empty_sessions")]
     total = out.agg(*sums).withColumns({"ord": F.lit(1000), "agent": F.lit("total"), "root": F.lit(None).cast("string"), "details": F.expr("cast(map() as map<string,map<string,bigint>>)")})
-    return out.unionByName(total).orderBy("ord").drop("ord")
+    return out.unionByName(total)

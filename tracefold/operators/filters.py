@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has
@@ -67,9 +67,14 @@ def order_by(scored: DataFrame, sort: str) -> DataFrame:
     return scored.orderBy(F.desc(key), "agent_ord", "file_ord")
 
 
+def matching(sessions: DataFrame, prefix: str | Column, agent: str | None = None) -> DataFrame:
+    """Sessions whose id starts with ``prefix``, a text or a column of theirs."""
+    return by_agent(sessions, agent).where(F.startswith("session_id", F.lit(prefix)))
+
+
 def resolve(sessions: DataFrame, prefix: str, agent: str | None = None) -> str:
     """The file path of the one session whose id starts with ``prefix``."""
-    hits = by_agent(sessions, agent).where(F.startswith("session_id", F.lit(prefix))).select("agent", "session_id", "file_path").limit(11).collect()
+    hits = matching(sessions, prefix, agent).select("agent", "session_id", "file_path").limit(11).collect()
     if not hits:
         raise NotFound(f"no session starts with {prefix!r}")
     if len(hits) > 1:

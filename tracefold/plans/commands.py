@@ -31,11 +31,14 @@ def one(index: Index, prefix: str, agent: str | None = None) -> Index:
     return Index(*(frame.where(F.col("file_path") == path) for frame in (index.sessions, index.messages, index.tool_calls)))
 
 
+def lines(index: Index) -> DataFrame:
+    """Messages with their calls, a row a call, and one for a message without."""
+    return index.messages.join(index.tool_calls.drop("input"), ["file_path", "msg_index"], "left")
+
+
 def show(index: Index, prefix: str, agent: str | None = None) -> DataFrame:
     """Messages and their calls in order."""
-    part = one(index, prefix, agent)
-    calls = part.tool_calls.drop("input")
-    return part.messages.join(calls, ["file_path", "msg_index"], "left").orderBy("msg_index", "call_index")
+    return lines(one(index, prefix, agent)).orderBy("msg_index", "call_index")
 
 
 def search(index: Index, query: str, agent: str | None = None, project: str | None = None, since=None, until=None, now: datetime | None = None) -> DataFrame:

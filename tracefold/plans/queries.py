@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import timex
-from ..model import MESSAGE_STATS, SOURCE_A, SOURCE_B, SOURCE_C, Index
+from ..model import AGENTS, MESSAGE_STATS, SOURCE_A, SOURCE_B, SOURCE_C, Index
 from ..operators import digest as D
 from ..operators import doctor, filters, fold, publish, redact, related, stats
 from ..operators import search as S
-from ..sources import source_a, source_b, source_c, stats_cache
+from ..sources import scan, source_a, source_b, source_c, stats_cache
 from ..sources.raw import lines_of
 from ..streaming import windows
 from . import commands
@@ -131,14 +131,15 @@ def list_agent_without_source(spark, d):
 @query(CONV + "select left(session_id, 7) as prefix, count(*) as n, min(session_id) as first_id from s group by 1")
 def resolve_prefix_counts(spark, d):
     ids = conversation_index(spark, d).sessions.select("session_id", F.left("session_id", F.lit(7)).alias("prefix"))
-    return ids.where(F.startswith("session_id", "prefix")).groupBy("prefix").agg(F.count("*").alias("n"), F.min("session_id").alias("first_id"))
+    return filters.matching(ids, F.col("prefix")).groupBy("prefix").agg(F.count("*").alias("n"), F.min("session_id").alias("first_id"))
 
 
 @query(CONV + "select agent, count(*) as sessions, sum(message_count)::bigint as messages from s group by agent")
 def union_of_sources(spark, d):
-    sessions = conversation_index(spark, d).sessions
-    parts = [filters.by_agent(sessions, a) for a in (SOURCE_A, SOURCE_B, SOURCE_C)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("agent").agg(F.count("*").alias("sessions"), F.sum("message_count").alias("messages"))
+    index = conversation_index(spark, d)
+    every = scan.union([Index(*(frame.where(F.col("agent") == a) for frame in (index.sessions, index.messages)), index.tool_calls) for a in AGENTS])
+    said = every.messages.groupBy("agent").agg(F.count("*").alias("messages"))
+    return every.sessions.groupBy("agent").agg(F.count("*").alias("sessions")).join(said, "agent")
 
 
 # Search.
@@ -184,7 +185,8 @@ def search_exclude_wrapped(spark, d):
 
 @query(CONV + f"select session_id, msg_index, role, text, {_ISO.format('ts')} as timestamp from t")
 def show_transcript_lines(spark, d):
-    return conversation_index(spark, d).messages.select("session_id", F.col("msg_index").cast("bigint"), "role", "text", "timestamp")
+    shown = commands.lines(conversation_index(spark, d)).where("call_index is null")
+    return shown.select("session_id", F.col("msg_index").cast("bigint"), "role", "text", "timestamp")
 
 
 # As-of joins and header rules.
@@ -466,8 +468,10 @@ def doctor_unmatched(spark, d):
 
 @query(CONV + "select coalesce(agent, 'total') as agent, count(*) as sessions, count(*) filter (message_count < 3) as small from s group by rollup (agent)")
 def doctor_totals_rollup(spark, d):
-    rows = conversation_index(spark, d).sessions.rollup("agent").agg(F.count("*").alias("sessions"), F.count_if(F.col("message_count") < 3).alias("small"))
-    return rows.withColumn("agent", F.coalesce("agent", F.lit("total")))
+    none = {"root": F.lit(None).cast("string"), "skipped_compressed": F.lit(0).cast("bigint"), "details": F.expr("cast(map() as map<string,map<string,bigint>>)")}
+    rows = conversation_index(spark, d).sessions.groupBy("agent", F.col("agent_ord").alias("ord"))
+    rows = rows.agg(F.count("*").alias("files"), F.count("*").alias("sessions"), F.count_if(F.col("message_count") < 3).alias("empty_sessions")).withColumns(none)
+    return doctor.with_totals(rows).select("agent", "sessions", F.col("empty_sessions").alias("small"))
 
 
 @query(EV + f", g as (select user_id, k, ord from e1 where agent = '{SOURCE_C}' and event_type = 'signup') select '/e/' || printf('%08d', user_id) as file_path, printf('%08d', user_id - 1) as session_id, 'turn' || (k % 2) as turn_id, arg_min('t' || k, ord) filter (k % 2 = 0) as title from g group by user_id, k % 2")
@@ -688,7 +692,11 @@ def _leaves(spark, rows: DataFrame) -> DataFrame:
     return leaves
 
 
-@query()
+@query(
+    "with e as (select event_id, user_id, event_type, cast(json_extract(props, '$.k') as int) as k from events) "
+    "select event_id, '$.k' as path, k::varchar as leaf from e where k is not null union all select event_id, '$.a.b[0]', coalesce(user_id::varchar, 'null') from e "
+    "union all select event_id, '$.a.b[1]', coalesce(k::varchar, 'null') from e union all select event_id, '$.a.event_type', to_json(event_type)::varchar from e where event_type is not null"
+)
 def variant_recursive_paths(spark, d):
     """Leaves of nested values with their paths."""
     rows = event_rows(spark, d).select("event_id", F.try_parse_json(F.expr("to_json(struct(k, struct(array(user_id, k) as b, event_type) as a))")).alias("v"))

@@ -41,6 +41,12 @@ def default_roots() -> dict[str, str]:
     return {name: m.DEFAULT_ROOT for name, m in REGISTRY.items() if m.DEFAULT_ROOT}
 
 
+def union(parts: list[Index]) -> Index:
+    """One index of the sessions of several."""
+    every = lambda part: reduce(DataFrame.unionByName, (getattr(x, part) for x in parts))
+    return Index(every("sessions"), every("messages"), every("tool_calls"))
+
+
 def scan(spark: SparkSession, roots: dict[str, str] | None = None, containing: str | None = None) -> Index:
     """All sessions below the roots, a root a source; missing roots have none.
 
@@ -60,7 +66,4 @@ def scan(spark: SparkSession, roots: dict[str, str] | None = None, containing: s
             paths = [p for p in paths if p in kept]
         if paths:
             found.append(source.parse(spark, paths, i))
-    if not found:
-        return Index.empty(spark)
-    union = lambda part: reduce(DataFrame.unionByName, (getattr(x, part) for x in found))
-    return Index(union("sessions"), union("messages"), union("tool_calls"))
+    return union(found) if found else Index.empty(spark)
