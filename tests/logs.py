@@ -20,7 +20,7 @@ def source_a(root: pathlib.Path) -> None:
         root / "-work-demo" / "aaaa-1.jsonl",
         [
             {"type": "mode", "sessionId": "aaaa-1", "timestamp": "2026-06-01T10:00:00.000Z"},
-            {"type": "user", "cwd": "/work/demo", "timestamp": "2026-06-01T10:00:01.000Z", "message": {"role": "user", "content": "Fix the parser, please"}},
+            {"type": "user", "cwd": "/work/demo", "timestamp": "2026-06-01T10:00:01.000Z", "message": {"role": "user", "content": "Rename the long flag"}},
             {"type": "assistant", "timestamp": "2026-06-01T10:01:00.000Z", "message": {"role": "assistant", "model": "m-1", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "Reading"}, use("t1", "Read", {"file_path": "/work/demo/a.py", "z": 1.0})], "usage": usage(4, 100, 50, 60)}},
             {"type": "user", "timestamp": "2026-06-01T10:01:05.000Z", "message": {"role": "user", "content": [result("t1", [{"type": "text", "text": "line one"}, {"type": "text", "text": "line two"}]), {"type": "text", "text": "not shown"}]}},
             {"type": "assistant", "timestamp": "2026-06-01T10:02:00.000Z", "message": {"role": "assistant", "model": "m-2", "content": [{"type": "text", "text": "Testing"}, use("t2", "Bash", {"command": "npm test"}), use("t3", "Edit", {"file_path": "/work/demo/b.py"})], "usage": usage(10, 200, 0, 300)}},
@@ -51,7 +51,7 @@ def source_b(root: pathlib.Path) -> None:
             env(6, "response_item", {"type": "function_call", "name": "exec_command", "call_id": "c1", "arguments": json.dumps({"command": ["bash", "-lc", "npm test"]})}),
             env(7, "response_item", {"type": "function_call_output", "call_id": "c1", "output": json.dumps({"output": "x", "metadata": {"exit_code": 1}})}),
             env(8, "event_msg", tokens(use(100, 40, 30, 10), use(100, 40, 30, 10))),
-            env(9, "response_item", {"type": "custom_tool_call", "name": "apply_patch", "call_id": "c2", "status": "completed", "input": "*** Begin Patch\n*** Update File: src/index.ts\n*** Add File: src/new.ts \n"}),
+            env(9, "response_item", {"type": "custom_tool_call", "name": "apply_patch", "call_id": "c2", "status": "completed", "input": "*** Begin Patch\n*** Update File: lib/flags.rs\n*** Add File: lib/extra.rs \n"}),
             env(10, "response_item", {"type": "custom_tool_call_output", "call_id": "c2", "output": {"ok": True}}),
             env(11, "event_msg", tokens(use(300, 100, 90, 20), use(20, 60, 60, 10))),
             env(12, "event_msg", {"type": "token_count", "info": None}),

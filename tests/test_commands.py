@@ -61,12 +61,12 @@ def test_search(index):
     hits = commands.search(index, "NPM TEST").collect()
     assert [(h["session_id"], h["tool_call"]) for h in hits] == [("aaaa-1", "Bash"), ("bbbb", "exec_command")]
     assert commands.search(index, "Calling").count() == 0  # a wrapper whose original is here
-    assert commands.search(index, "parser", until="2026-05-01").count() == 0
+    assert commands.search(index, "long flag", until="2026-05-01").count() == 0
 
 
 def test_extract(index):
     d = commands.extract(index, "bbbb", full=True).first().asDict(recursive=True)
-    assert d["files"] == {"written": ["src/index.ts", "src/new.ts"], "read": []}
+    assert d["files"] == {"written": ["lib/flags.rs", "lib/extra.rs"], "read": []}
     assert d["tests"] == [{"command": "npm test", "passed": False}]
     assert d["key_turns"] == {"goal": "Add a flag", "final_state": ["On it"]}
     assert len(d["transcript"]) == 5

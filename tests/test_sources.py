@@ -51,7 +51,7 @@ def test_source_a_header_and_stats(sessions):
 
 
 def test_source_a_messages_and_calls(index):
-    assert [(m["role"], m["text"]) for m in messages(index, "aaaa-1")] == [("user", "Fix the parser, please"), ("assistant", "Reading"), ("assistant", "Testing"), ("summary", "We fixed half of it")]
+    assert [(m["role"], m["text"]) for m in messages(index, "aaaa-1")] == [("user", "Rename the long flag"), ("assistant", "Reading"), ("assistant", "Testing"), ("summary", "We fixed half of it")]
     assert [(c["name"], c["status"], c["output"]) for c in calls(index, "aaaa-1")] == [("Read", "ok", "line one\nline two"), ("Bash", "error", "FAIL 1 test"), ("Edit", "unknown", None)]
     assert calls(index, "aaaa-1")[0]["input_json"] == '{"file_path":"/work/demo/a.py","z":1.0}'
 
@@ -88,7 +88,7 @@ def test_source_c(index, sessions):
 
 def test_missing_roots_and_prefilter(spark, roots, tmp_path):
     assert scan(spark, {"claude": str(tmp_path / "none")}).sessions.count() == 0
-    assert scan(spark, roots, containing="FIX THE parser").sessions.count() == 1
+    assert scan(spark, roots, containing="RENAME THE long").sessions.count() == 1
 
 
 def test_saved_index_reads_back(spark, index, tmp_path):
@@ -139,4 +139,4 @@ def test_paths_with_glob_characters(spark, tmp_path):
     found = scan(spark, roots)
     assert {r["session_id"] for r in found.sessions.collect()} == {"aaaa-1", "empty", "garbage", "bbbb", "old-id", "flat-id", "cccc-id"}
     assert found.messages.where("session_id = 'aaaa-1'").count() == 4 and found.messages.where("session_id = 'cccc-id'").count() > 0
-    assert scan(spark, roots, containing="fix the parser").sessions.count() >= 1
+    assert scan(spark, roots, containing="rename the long").sessions.count() >= 1
