@@ -51,7 +51,7 @@ def source_b(root: pathlib.Path) -> None:
             env(6, "response_item", {"type": "function_call", "name": "exec_command", "call_id": "c1", "arguments": json.dumps({"command": ["bash", "-lc", "npm test"]})}),
             env(7, "response_item", {"type": "function_call_output", "call_id": "c1", "output": json.dumps({"output": "x", "metadata": {"exit_code": 1}})}),
             env(8, "event_msg", tokens(use(100, 40, 30, 10), use(100, 40, 30, 10))),
-            env(9, "response_item", {"type": "custom_tool_call", "name": "apply_patch", "call_id": "c2", "status": "completed", "input": "*** Begin Patch\n*** Update File: lib/flags.rs\n*** Add File: lib/extra.rs \n"}),
+            env(9, "response_item", {"type": "custom_tool_call", "name": "apply_patch", "call_id": "c2", "status": "completed", "input": "*** Begin Patch\n*** Update File: lib/flags.rs\n*** Add File: lib/words.rs \n"}),
             env(10, "response_item", {"type": "custom_tool_call_output", "call_id": "c2", "output": {"ok": True}}),
             env(11, "event_msg", tokens(use(300, 100, 90, 20), use(20, 60, 60, 10))),
             env(12, "event_msg", {"type": "token_count", "info": None}),

@@ -66,7 +66,7 @@ def test_search(index):
 
 def test_extract(index):
     d = commands.extract(index, "bbbb", full=True).first().asDict(recursive=True)
-    assert d["files"] == {"written": ["lib/flags.rs", "lib/extra.rs"], "read": []}
+    assert d["files"] == {"written": ["lib/flags.rs", "lib/words.rs"], "read": []}
     assert d["tests"] == [{"command": "npm test", "passed": False}]
     assert d["key_turns"] == {"goal": "Add a flag", "final_state": ["On it"]}
     assert len(d["transcript"]) == 5
